@@ -1,0 +1,5 @@
+"""Nothing here on purpose.
+
+Every series this library covers is a batch daily table: there is no watermark,
+stateful operator or late-data rule to express, so no streaming job is defined.
+"""
