@@ -36,12 +36,12 @@ def weekday_number(d: str | Column) -> Column:
 
 def week_start(d: str | Column) -> Column:
     """Monday of the week."""
-    return F.date_trunc("week", col(d)).cast("date")
+    return F.trunc(col(d), "week")
 
 
 def week_label(d: str | Column) -> Column:
     """Monday of the week as e.g. ``May-06``."""
-    return F.date_format(F.date_trunc("week", col(d)), "MMM-dd")
+    return F.date_format(F.trunc(col(d), "week"), "MMM-dd")
 
 
 def week_day_code(d: str | Column) -> Column:

@@ -27,13 +27,12 @@ def to_wide(
 
     The names are given, so no extra pass looks for them.
     """
-    cell = F.struct(value.alias("v"))
-    wide = df.groupBy(*keys).pivot(names_from, list(names)).agg(cell)
+    cells = (value.alias("v"), F.count(F.lit(1)).alias("n"))
+    wide = df.groupBy(*keys).pivot(names_from, list(names)).agg(*cells)
     out = list(keys)
     for name in names:
-        present = F.col(f"`{name}`")
-        empty = F.lit(None) if fill is None else F.lit(fill)
-        out.append(F.when(present.isNull(), empty).otherwise(present["v"]).alias(str(name)))
+        present = F.coalesce(F.col(f"`{name}_n`"), F.lit(0)) > 0
+        out.append(F.when(present, F.col(f"`{name}_v`")).otherwise(F.lit(fill)).alias(str(name)))
     return wide.select(*out)
 
 

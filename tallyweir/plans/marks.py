@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.functions.dates import week_label
+from tallyweir.functions.dates import week_label, week_start
 from tallyweir.functions.missing import in_set, sum_where
 from tallyweir.operators.accounting import reallocate_unknown
 from tallyweir.operators.aggregates import distinct_text
@@ -139,7 +139,7 @@ def mark_matrix(
 
     The observations are reduced to weekly totals per mark before anything is joined.
     """
-    monday = F.date_trunc("week", "date").cast("date").alias("week")
+    monday = week_start("date").alias("week")
     weekly = [F.sum(m).alias(m) for m in ("top", "bottom")]
     applied = daily_applied_wide(fish, site).groupBy("iso_year", monday).agg(*weekly)
     seen = daily_recovered_wide(fish, start_week, inclusive).groupBy("iso_year", monday).agg(*weekly)
