@@ -28,7 +28,7 @@ REPEAT_RULES = (("orange", 1996), ("orange", 1998), ("pink", 1997))
 # Expressions that mean the same in Spark and in DuckDB, by table: column -> text.
 # {week} is the number of whole weeks since the first Monday.
 _MARKED = "l_linestatus = 'O' AND l_returnflag IN ('A', 'R') AND l_linenumber <= 4"
-_SEEN = "l_linestatus = 'F' AND l_returnflag IN ('A', 'R') AND l_linenumber <= 3"
+_SEEN = "l_linestatus = 'F' AND l_returnflag = 'A' AND l_linenumber <= 3"
 FISH = {
     "year": "CAST(year(l_shipdate) AS INT)",
     "date": "CAST(l_shipdate AS DATE)",

@@ -40,8 +40,10 @@ def distribution_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) ->
         n_rows().alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
-    quartiles = exact_quantiles(known, value, (0.25, 0.5, 0.75), by).drop("n")
-    out = left_join(basic, quartiles.withColumnsRenamed({"q0": "q1", "q1": "median", "q2": "q3"}), by)
+    quartiles = exact_quantiles(known, value, (0.25, 0.5, 0.75), by).select(
+        *by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
+    )
+    out = left_join(basic, quartiles, by)
     return out.select(*keys, "n", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 

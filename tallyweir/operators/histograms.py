@@ -40,8 +40,8 @@ def stacked_bars(
 
 def box_summary(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Quartiles, whisker ends (last values within 1.5 IQR) and the number of outliers."""
-    box = exact_quantiles(df, value, (0.25, 0.5, 0.75), keys).withColumnsRenamed(
-        {"q0": "lower", "q1": "middle", "q2": "upper"}
+    box = exact_quantiles(df, value, (0.25, 0.5, 0.75), keys).select(
+        *keys, "n", F.col("q0").alias("lower"), F.col("q1").alias("middle"), F.col("q2").alias("upper")
     )
     reach = (F.col("upper") - F.col("lower")) * 1.5
     box = small_side(box.withColumns({"_from": F.col("lower") - reach, "_to": F.col("upper") + reach}))

@@ -53,7 +53,7 @@ def line_fit(df: DataFrame, x: str | Column, y: str | Column, keys: Sequence[str
 
 def line_band(fits: DataFrame, at: Column, name: str = "x") -> DataFrame:
     """Fitted value and its standard error at ``at`` for every fitted line."""
-    out = fits.withColumn(name, at.cast("double"))
+    out = fits.withColumn(name, at)
     away = F.col(name) - F.col("mean_x")
     return out.withColumn("fitted", F.col("intercept") + F.col("slope") * F.col(name)).withColumn(
         "se_fitted", F.col("residual_sd") * F.sqrt(1 / F.col("n") + ratio(away * away, "sxx"))

@@ -21,8 +21,8 @@ from tallyweir.operators.joins import left_join
 
 FIT_COLUMNS = (
     "n_rows INT, n_cols INT, n_pools INT, log_lik DOUBLE, np INT, aicc DOUBLE, gof_chisq DOUBLE, gof_df INT, "
-    "gof_p DOUBLE, n_hat DOUBLE, n_hat_se DOUBLE, boundary BOOLEAN, converged BOOLEAN, pools ARRAY<STRING>, "
-    "capture_p ARRAY<DOUBLE>"
+    "gof_p DOUBLE, n_hat DOUBLE, n_hat_se DOUBLE, boundary BOOLEAN, converged BOOLEAN, overdrawn_rows INT, "
+    "pools ARRAY<STRING>, capture_p ARRAY<DOUBLE>"
 )
 
 
@@ -103,7 +103,7 @@ def _abundance_variance(beta, theta, m, u, released):
     grad[len(free):] = released
     never = released - m.sum(axis=1)
     n_hat = float(((1.0 + beta) * released).sum())
-    return float(grad @ cov @ grad + ((1.0 + beta) ** 2 * never).sum() - n_hat)
+    return float(grad @ cov @ grad + ((1.0 + beta) ** 2 * np.maximum(never, 0.0)).sum() - n_hat)
 
 
 def _poisson_log(k, mean):
@@ -112,8 +112,23 @@ def _poisson_log(k, mean):
     return np.where(mean > 0, k * np.log(np.where(mean > 0, mean, 1.0)) - mean - gamma, 0.0).sum()
 
 
+def _pool_empty_columns(marked, u):
+    """Join each week without marked recoveries to the last week before it that has some (or the
+    first after it): its unmarked catch says nothing about a capture rate of its own."""
+    filled = np.flatnonzero(marked.sum(axis=0) > 0)
+    if len(filled) == 0:
+        return marked, u
+    spot = np.maximum(np.searchsorted(filled, np.arange(len(u)), side="right") - 1, 0)
+    return marked[:, filled], np.bincount(spot, weights=u, minlength=len(filled))
+
+
 def fit_season(cells: pd.DataFrame) -> dict:
-    """Fit one matrix given as rows ``(kind, row, col, pool, n)``."""
+    """Fit one matrix given as rows ``(kind, row, col, pool, n)``.
+
+    No fit is given when a pool has no recaptures, no standard error when a pool is fully caught
+    (``boundary``). ``overdrawn_rows`` counts weeks with more recoveries than releases, which no
+    closed population can produce; their "never seen" cell enters the likelihood as zero.
+    """
     rows = sorted(cells.loc[cells["kind"].isin(["recovered", "never"]), "row"].unique())
     cols = sorted(cells.loc[cells["kind"].isin(["recovered", "unmarked"]), "col"].unique())
     row_at, col_at = {r: i for i, r in enumerate(rows)}, {c: j for j, c in enumerate(cols)}
@@ -128,15 +143,16 @@ def fit_season(cells: pd.DataFrame) -> dict:
             marked[row_at[row], col_at[column]] += n
         else:
             never[row_at[row]] += n
+    marked, u = _pool_empty_columns(marked, u)
     labels = sorted(set(pool_of.values()))
     member = np.array([[pool_of[i] == g for i in range(len(rows))] for g in labels], dtype=float)
     m = member @ marked
     released = member @ (marked.sum(axis=1) + never)
     usable = bool((m.sum(axis=1) > 0).all()) and u.sum() > 0 and len(rows) > 0
     out = dict(
-        n_rows=len(rows), n_cols=len(cols), n_pools=len(labels), pools=[str(g) for g in labels],
+        n_rows=len(rows), n_cols=len(u), n_pools=len(labels), pools=[str(g) for g in labels],
         log_lik=None, np=None, aicc=None, gof_chisq=None, gof_df=None, gof_p=None, n_hat=None, n_hat_se=None,
-        boundary=None, converged=False, capture_p=None,
+        boundary=None, converged=False, overdrawn_rows=int((never < 0).sum()), capture_p=None,
     )
     if not usable:
         return out
@@ -153,7 +169,7 @@ def fit_season(cells: pd.DataFrame) -> dict:
     own = member.T @ np.divide(theta, m, out=np.zeros_like(m), where=m > 0)
     fitted = marked * own
     mu = (beta[:, None] * theta).sum(axis=0)
-    log_lik = _poisson_log(marked, fitted) + _poisson_log(never, never) + _poisson_log(u, mu)
+    log_lik = _poisson_log(marked, fitted) + _poisson_log(np.maximum(never, 0.0), never) + _poisson_log(u, mu)
     params = int((marked > 0).sum() + len(rows) + len(labels))
     n_all = float(marked.sum() + never.sum() + u.sum())
     chisq = float(
