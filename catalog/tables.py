@@ -94,7 +94,7 @@ HYDRO_UNITS = {
     "station_number": "o_orderpriority",
     "ts": "{plus:o_orderdate:(o_custkey % 24) * 60}",
     "parameter": "CASE o_orderstatus WHEN 'F' THEN 'Level' ELSE 'Flow' END",
-    "value": "o_totalprice / 100000",
+    "value": "o_totalprice / 99991",
 }
 TRAP = {
     "date": "CAST(ts AS DATE)",
@@ -102,8 +102,8 @@ TRAP = {
     "type": "CASE WHEN event_type IN ('click', 'view', 'error') THEN 'pull' ELSE 'set' END",
     "arrival_time_24h": "{minute:ts:0}",
     "departure_time_24h": "CASE WHEN event_type <> 'error' THEN {minute:ts:event_id % 180} END",
-    "water_level_m": "CASE WHEN event_type <> 'error' THEN value / 100 END",
-    "water_temp_c": "CASE WHEN value < 90 THEN value / 10 END",
+    "water_level_m": "CASE WHEN event_type <> 'error' THEN value / 97 END",
+    "water_temp_c": "CASE WHEN value < 90 THEN value / 11 END",
 }
 AGES = {
     "gr_age": "CAST(p_size AS STRING)",

@@ -26,16 +26,6 @@ FIT_COLUMNS = (
 )
 
 
-def _em_step(beta, theta, m, u):
-    """One EM update in sums over pools; ``theta`` and ``m`` are (pool, week)."""
-    expected = beta[:, None] * theta
-    total = expected.sum(axis=0)
-    w = np.divide(expected * u, total, out=np.zeros_like(expected), where=total > 0)
-    marked = m.sum(axis=1)
-    beta = np.divide(w.sum(axis=1), marked, out=np.full(len(beta), np.inf), where=marked > 0)
-    return beta, (m + w) / (1.0 + beta[:, None])
-
-
 def _log_lik(beta, theta, m, u):
     mu = (beta[:, None] * theta).sum(axis=0)
     marks = np.where(m > 0, m * np.log(np.where(theta > 0, theta, 1.0)), 0.0).sum() - theta.sum()
@@ -43,31 +33,57 @@ def _log_lik(beta, theta, m, u):
     return marks + plain
 
 
-def fit_pools(m: np.ndarray, u: np.ndarray, tolerance: float = 1e-11, max_steps: int = 200_000):
-    """Maximum likelihood beta and theta by EM with squared extrapolation."""
+def fit_pools(m: np.ndarray, u: np.ndarray, tolerance: float = 1e-9, max_steps: int = 500):
+    """Maximum likelihood beta and theta by damped Fisher scoring on log scales.
+
+    ``m`` is (pool, week); cells without recoveries are structural zeros. Every step solves one
+    small linear system; the damping grows until the likelihood does not fall.
+    """
     pools = m.shape[0]
-    beta = np.full(pools, max(u.sum(), 1.0) / max(m.sum(), 1.0))
-    theta = m.astype(float)
+    g, j = np.nonzero(m)
+    cells = len(g)
+    pool_of_cell = np.zeros((cells, pools))
+    pool_of_cell[np.arange(cells), g] = 1.0
+    same_week = j[:, None] == j[None, :]
+    counts = m[g, j]
+    log_theta = np.log(counts)
+    log_beta = np.full(pools, math.log(max(u.sum(), 1.0) / m.sum()))
+    floor = math.log(1e-12)
+
+    def expand(a, b):
+        theta = np.zeros_like(m, dtype=float)
+        theta[g, j] = np.exp(a)
+        return np.exp(b), theta
+
+    beta, theta = expand(log_theta, log_beta)
     value = _log_lik(beta, theta, m, u)
-    for step in range(max_steps):
-        b1, t1 = _em_step(beta, theta, m, u)
-        b2, t2 = _em_step(b1, t1, m, u)
-        r = np.log(b1 + 1e-300) - np.log(beta + 1e-300)
-        s = np.log(b2 + 1e-300) - np.log(b1 + 1e-300) - r
-        norm = np.linalg.norm(s)
-        new_b, new_t = b2, t2
-        if norm > 0:
-            a = min(-1.0, -np.linalg.norm(r) / norm)
-            far = np.exp(np.clip(np.log(beta + 1e-300) - 2 * a * r + a * a * s, -600.0, 27.0))
-            far_b, far_t = _em_step(far, t2, m, u)
-            if _log_lik(far_b, far_t, m, u) >= _log_lik(b2, t2, m, u):
-                new_b, new_t = far_b, far_t
-        new_value = _log_lik(new_b, new_t, m, u)
-        change = np.max(np.abs(new_b - beta) / (np.abs(new_b) + 1e-8))
-        beta, theta = new_b, new_t
-        if change < tolerance and abs(new_value - value) < 1e-10 * (abs(new_value) + 1.0):
+    damping = 1e-3
+    for _ in range(max_steps):
+        mu = (beta[:, None] * theta).sum(axis=0)
+        part = beta[g] * theta[g, j]
+        pull = (u[j] / mu[j] - 1.0) * part
+        slope = np.concatenate([counts - theta[g, j] + pull, pool_of_cell.T @ pull])
+        if np.abs(slope).max() < tolerance * (1.0 + counts.sum()):
             return beta, theta, True
-        value = new_value
+        shared = np.where(same_week, part[:, None] * part[None, :] / mu[j][None, :], 0.0)
+        across = shared @ pool_of_cell
+        info = np.block([[shared + np.diag(theta[g, j]), across], [across.T, pool_of_cell.T @ across]])
+        size = np.diag(info).copy()
+        moved = False
+        while damping < 1e12:
+            step = np.linalg.solve(info + np.diag(damping * size + 1e-12), slope)
+            step = np.clip(step, -2.0, 2.0)
+            a, b = log_theta + step[:cells], np.maximum(log_beta + step[cells:], floor)
+            new_beta, new_theta = expand(a, b)
+            new_value = _log_lik(new_beta, new_theta, m, u)
+            if new_value >= value - 1e-12 * abs(value):
+                moved = True
+                break
+            damping *= 10.0
+        if not moved:
+            break
+        log_theta, log_beta, beta, theta, value = a, b, new_beta, new_theta, new_value
+        damping = max(damping / 10.0, 1e-10)
     return beta, theta, False
 
 
