@@ -11,6 +11,7 @@ from tallyweir.functions.missing import n_rows, ratio, sum_known, sum_where
 from tallyweir.functions.numbers import bin_floor, percent_text, round_even
 from tallyweir.operators.aggregates import contingency, exact_quantiles
 from tallyweir.operators.joins import left_join
+from tallyweir.operators.reshape import append
 
 
 def size_summary(fish: DataFrame, keys: Sequence[str], digits: int | None = 1) -> DataFrame:
@@ -32,19 +33,17 @@ def distribution_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) ->
     """n, mean, SD, minimum, quartiles and maximum."""
     keys = list(keys)
     known = df.where(F.col(value).isNotNull())
-    marker = [] if keys else ["_all"]
-    if not keys:
-        known = known.withColumn("_all", F.lit(1))
-    by = keys or marker
-    basic = known.groupBy(*by).agg(
+    basic = (known.groupBy(*keys) if keys else known).agg(
         n_rows().alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
-    quartiles = exact_quantiles(known, value, (0.25, 0.5, 0.75), by).select(
-        *by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
+    quartiles = exact_quantiles(known, value, (0.25, 0.5, 0.75), keys).select(
+        *keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
-    out = left_join(basic, quartiles, by)
-    return out.select(*keys, "n", "mean", "sd", "min", "q1", "median", "q3", "max")
+    # one row per group on each side: stacked and folded, which also works without keys
+    both = append(basic, quartiles, fill_missing=True)
+    shown = ("n", "mean", "sd", "min", "q1", "median", "q3", "max")
+    return (both.groupBy(*keys) if keys else both).agg(*[F.max(c).alias(c) for c in shown])
 
 
 def age_length_key(aged: DataFrame, length: str, age: str, width: float) -> DataFrame:

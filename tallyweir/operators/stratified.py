@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -239,7 +240,7 @@ def fit_models(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     schema = ", ".join(f"{k} {types[k]}" for k in by) + ", " + FIT_COLUMNS
     order = [*by, *[part.split()[0] for part in FIT_COLUMNS.split(", ")]]
 
-    def fit(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         found = {**dict(zip(by, group)), **fit_season(pdf)}
         return pd.DataFrame([[found[name] for name in order]], columns=order)
 
