@@ -88,12 +88,16 @@ def reallocate_unknown(
     week: str,
     start_week: int,
     inclusive: bool = True,
+    only: Column | None = None,
 ) -> DataFrame:
     """Give unreadable marks to the two readable kinds in their proportion, from a start week on.
 
     The two rounded parts need not add up; what is left over (or overdrawn) stays in ``unknown``.
+    Rows for which ``only`` does not hold are left as they are.
     """
     open_now = F.col(week) >= start_week if inclusive else F.col(week) > start_week
+    if only is not None:
+        open_now = open_now & only
     portion = ratio_or(first, F.col(first) + F.col(second), 0.0)
     out = df.withColumn("_p", portion)
     given = {

@@ -82,50 +82,50 @@ def release_recovery_matrix(
     without a mark) and ``unassigned``.
     """
     keys = list(keys)
-    lags = F.explode(F.sequence(F.lit(0), F.lit(max_lag_weeks)))
-    open_for = (
-        releases.where(F.col("n") > 0)
-        .select(*keys, "mark", F.col("week").alias("release_week"), F.col("n").alias("_released"), lags.alias("_lag"))
-        .withColumn("recover_week", F.date_add("release_week", F.col("_lag") * 7))
-    )
-    group = Window.partitionBy(*keys, "mark", "recover_week")
-    open_for = open_for.withColumns(
-        {"_all": F.sum("_released").over(group), "_options": F.count(F.lit(1)).over(group)}
-    )
-    seen = recoveries.where(F.col("n") > 0).select(
-        *keys, "mark", F.col("week").alias("recover_week"), F.col("n").alias("_seen")
-    )
-    placed = left_join(seen, open_for, [*keys, "mark", "recover_week"])
-    share = F.when(F.col("release_week").isNull(), F.col("_seen")).otherwise(
-        F.col("_seen") * F.col("_released") / F.col("_all")
+    zero = F.lit(0.0)
+    stacked = releases.select(*keys, "mark", "week", F.col("n").cast("double").alias("_rel"), zero.alias("_seen")).unionByName(
+        recoveries.select(*keys, "mark", "week", zero.alias("_rel"), F.col("n").cast("double").alias("_seen"))
     )
+    weekly = stacked.groupBy(*keys, "mark", "week").agg(F.sum("_rel").alias("_rel"), F.sum("_seen").alias("_seen"))
+    # frames by date, so that a week without any row is not mistaken for its neighbour
+    weeks = Window.partitionBy(*keys, "mark").orderBy(F.unix_date("week"))
+    lags = range(max_lag_weeks + 1)
+    released = {f"_rel{k}": F.coalesce(F.sum("_rel").over(weeks.rangeBetween(-7 * k, -7 * k)), zero) for k in lags}
+    total = sum((F.col(c) for c in released), zero)
+    options = sum(((F.col(c) > 0).cast("int") for c in released), F.lit(0))
+    placed = weekly.withColumns(released).withColumns({"_total": total, "_options": options})
+    ahead = weeks.rangeBetween(0, 7 * max_lag_weeks)
+    whole = F.coalesce(F.sum(F.when(F.col("_options") == 1, F.col("_seen"))).over(ahead), zero)
+    part = F.coalesce(F.sum(F.when(F.col("_options") > 1, F.col("_seen") / F.col("_total"))).over(ahead), zero)
+    placed = placed.withColumn("_never", F.col("_rel") - whole - F.col("_rel") * part)
+
+    def cell(kind: str, release, recover, n, ambiguous=None):
+        return F.struct(
+            F.lit(kind).alias("kind"), release.cast("date").alias("release_week"), recover.cast("date").alias("recover_week"),
+            n.alias("n"), (F.lit(False) if ambiguous is None else ambiguous).alias("ambiguous"),
+        )
+
+    week, seen, none = F.col("week"), F.col("_seen"), F.lit(None)
+    several = F.col("_options") > 1
+    options = [
+        F.when(
+            (seen > 0) & (F.col(f"_rel{k}") > 0),
+            cell(
+                "recovered", F.date_sub(week, 7 * k), week,
+                F.when(several, seen * F.col(f"_rel{k}") / F.col("_total")).otherwise(seen), several,
+            ),
+        )
+        for k in lags
+    ]
+    options.append(F.when((seen > 0) & (F.col("_options") == 0), cell("unassigned", none, week, seen)))
+    options.append(F.when(F.col("_rel") > 0, cell("never", week, none, F.col("_never"))))
     cells = (
-        placed.groupBy(*keys, "release_week", "recover_week")
-        .agg(F.sum(share).alias("n"), F.max(F.coalesce(F.col("_options") > 1, F.lit(False))).alias("ambiguous"))
-        .withColumn("kind", F.when(F.col("release_week").isNull(), "unassigned").otherwise("recovered"))
-    )
-    by_release = cells.where(F.col("kind") == "recovered").groupBy(*keys, "release_week").agg(F.sum("n").alias("_m"))
-    totals = (
-        releases.groupBy(*keys, F.col("week").alias("release_week")).agg(F.sum("n").alias("_released"))
-        .where(F.col("_released") > 0)
-    )
-    never = left_join(totals, by_release, [*keys, "release_week"]).select(
-        *keys,
-        "release_week",
-        F.lit(None).cast("date").alias("recover_week"),
-        (F.col("_released") - F.coalesce("_m", F.lit(0.0))).alias("n"),
-        F.lit(False).alias("ambiguous"),
-        F.lit("never").alias("kind"),
-    )
-    rest = unmarked.select(
-        *keys,
-        F.lit(None).cast("date").alias("release_week"),
-        F.col("week").alias("recover_week"),
-        F.col("n").cast("double").alias("n"),
-        F.lit(False).alias("ambiguous"),
-        F.lit("unmarked").alias("kind"),
+        placed.select(*keys, F.explode(F.array_compact(F.array(*options))).alias("_c")).select(*keys, "_c.*")
+        .groupBy(*keys, "kind", "release_week", "recover_week")
+        .agg(F.sum("n").alias("n"), F.max("ambiguous").alias("ambiguous"))
     )
-    return cells.unionByName(never).unionByName(rest)
+    rest = unmarked.select(*keys, cell("unmarked", none, week, F.col("n").cast("double")).alias("_c")).select(*keys, "_c.*")
+    return cells.unionByName(rest)
 
 
 def stratum_totals(matrix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.functions.dates import week_label, week_start
-from tallyweir.functions.missing import in_set, sum_where
+from tallyweir.functions.missing import in_set, strict_sum_where, sum_where
 from tallyweir.operators.accounting import reallocate_unknown
 from tallyweir.operators.aggregates import distinct_text
-from tallyweir.operators.joins import full_join, left_join
 from tallyweir.operators.recapture import (
     release_recovery_matrix,
     trap_efficiency,
     two_sample_counts,
     with_abundance,
 )
-from tallyweir.operators.reshape import append, to_long, to_wide
+from tallyweir.operators.reshape import to_long, to_wide
+from tallyweir.plans.canonical import BATCH_MARKS
+from tallyweir.session import materialise
 
 UPSTREAM, DOWNSTREAM = "barn", "fence"
 MARKS = ("top", "bottom", "none")
@@ -95,7 +96,15 @@ def daily_recovered(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusiv
 
 
 def applied_and_recovered(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True) -> DataFrame:
-    return append(daily_applied(fish), daily_recovered(fish, start_week, inclusive))
+    """Both series in one long table, from one pass: the site tells which mark column counts."""
+    applied = (F.col("site") == UPSTREAM) & in_set("tag_status", ["A"])
+    returned = (F.col("site") == DOWNSTREAM) & in_set("tag_status", ["R"])
+    mark = F.when(applied, F.col("a_caudalclip")).otherwise(F.col("r_caudalclip"))
+    wide = _by_mark(fish.where(applied | returned).withColumn("_mark", mark), "_mark", "site")
+    settled = reallocate_unknown(
+        wide, "top", "bottom", "none", "iso_week", start_week, inclusive, only=F.col("site") == DOWNSTREAM
+    )
+    return _long(settled)
 
 
 def unreadable_marks(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True) -> DataFrame:
@@ -104,16 +113,36 @@ def unreadable_marks(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusi
     return rows.agg(F.coalesce(F.sum("none"), F.lit(0.0)).alias("unreadable"))
 
 
-def weekly_release_recapture(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True) -> DataFrame:
-    """Marks applied per week beside marks recovered in the same week."""
-    keys = ["iso_year", "iso_week"]
-    released = daily_applied_wide(fish).where(F.col("iso_week") >= FIRST_MARK_WEEK).groupBy(*keys).agg(
-        F.sum("top").alias("a_top"), F.sum("bottom").alias("a_bottom")
+def daily_marks(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True, site: str = "site") -> DataFrame:
+    """Everything the weekly tables need, per day, from one pass over the observations.
+
+    ``a_*``: marks applied upstream; ``r_*``: marks recovered downstream, unreadable ones
+    reallocated; ``unmarked``: unmarked catch downstream; ``n_*``: rows behind each of them.
+    """
+    applied = (F.col(site) == UPSTREAM) & in_set("tag_status", ["A"])
+    below = F.col("site") == DOWNSTREAM
+    returned = below & in_set("tag_status", ["R"])
+    measures = [sum_where(applied & in_set("a_caudalclip", [m]), "count").alias(f"a_{m}") for m in MARKS]
+    measures += [sum_where(returned & in_set("r_caudalclip", [m]), "count").alias(f"r_{m}") for m in MARKS]
+    daily = fish.groupBy(*DAY).agg(
+        *measures,
+        sum_where(below & F.col("r_adclip").isNull(), "count").alias("unmarked"),
+        F.count_if(applied).alias("n_applied"),
+        F.count_if(returned).alias("n_returned"),
+        F.count_if(below).alias("n_below"),
     )
-    recovered = daily_recovered_wide(fish, start_week, inclusive).groupBy(*keys).agg(
-        F.sum("top").alias("r_top"), F.sum("bottom").alias("r_bottom")
+    return reallocate_unknown(daily, "r_top", "r_bottom", "r_none", "iso_week", start_week, inclusive)
+
+
+def weekly_release_recapture(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True) -> DataFrame:
+    """Marks applied per week beside marks recovered in the same week (NULL when none came back)."""
+    sums = [F.sum(c).alias(c) for c in ("a_top", "a_bottom", "r_top", "r_bottom", "n_applied", "n_returned")]
+    weekly = daily_marks(fish, start_week, inclusive).groupBy("iso_year", "iso_week").agg(*sums)
+    came_back = F.col("n_returned") > 0
+    return weekly.where((F.col("iso_week") >= FIRST_MARK_WEEK) & (F.col("n_applied") > 0)).select(
+        "iso_year", "iso_week", "a_top", "a_bottom",
+        *[F.when(came_back, F.col(c)).alias(c) for c in ("r_top", "r_bottom")],
     )
-    return left_join(released, recovered, keys)
 
 
 def weekly_release_columns(fish: DataFrame, weeks: Sequence[int]) -> DataFrame:
@@ -137,28 +166,32 @@ def mark_matrix(
 ) -> DataFrame:
     """Release week by recovery week per season, from the observations.
 
-    The observations are reduced to weekly totals per mark before anything is joined.
+    One pass reduces the observations to weekly totals (a few hundred rows per season and site
+    pair), which are written once; the matrix is then built from those rows.
     """
-    monday = week_start("date").alias("week")
-    weekly = [F.sum(m).alias(m) for m in ("top", "bottom")]
-    applied = daily_applied_wide(fish, site).groupBy("iso_year", monday).agg(*weekly)
-    seen = daily_recovered_wide(fish, start_week, inclusive).groupBy("iso_year", monday).agg(*weekly)
-    return release_recovery_matrix(
-        to_long(applied, ["iso_year", "week"], ("top", "bottom"), "mark", "n"),
-        to_long(seen, ["iso_year", "week"], ("top", "bottom"), "mark", "n"),
-        weekly_unmarked(fish).select("iso_year", "week", "n"),
-        ["iso_year"],
+    weekly = materialise(
+        daily_marks(fish, start_week, inclusive, site)
+        .groupBy("iso_year", week_start("date").alias("week"))
+        .agg(*[F.sum(c).alias(c) for c in ("a_top", "a_bottom", "r_top", "r_bottom", "unmarked", "n_below")])
     )
 
+    def by_mark(prefix: str) -> DataFrame:
+        named = weekly.select("iso_year", "week", *[F.col(f"{prefix}_{m}").alias(m) for m in BATCH_MARKS])
+        return to_long(named, ["iso_year", "week"], BATCH_MARKS, "mark", "n")
+
+    unmarked = weekly.where(F.col("n_below") > 0).select("iso_year", "week", F.col("unmarked").alias("n"))
+    return release_recovery_matrix(by_mark("a"), by_mark("r"), unmarked, ["iso_year"])
+
 
 def marked_against_recaptured(fish: DataFrame, species: str = "co-w", date: str = "overlay_date") -> DataFrame:
-    """Daily newly marked and recaptured animals side by side, long."""
+    """Daily newly marked and recaptured animals, long; a status without animals that day is NULL."""
     keys = [date, "site"]
-    strict = F.when(F.count("count") == F.count(F.lit(1)), F.sum("count"))
-    marked = (
-        fish.where((F.col("species") == species) & (F.col("a_adclip") == "yes"))
-        .groupBy(*keys).agg(strict.alias("total_marked"))
-    )
-    again = fish.where(F.col("r_adclip") == "yes").groupBy(*keys).agg(strict.alias("total_recaps"))
-    both = full_join(again, marked, keys)
-    return to_long(both, keys, ["total_marked", "total_recaps"], "status", "n")
+    groups = {
+        "total_marked": in_set("species", [species]) & in_set("a_adclip", ["yes"]),
+        "total_recaps": in_set("r_adclip", ["yes"]),
+    }
+    measures = [strict_sum_where(g, "count").alias(name) for name, g in groups.items()]
+    measures += [F.count_if(g).alias(f"_{name}") for name, g in groups.items()]
+    daily = fish.groupBy(*keys).agg(*measures).where((F.col("_total_marked") > 0) | (F.col("_total_recaps") > 0))
+    seen = daily.select(*keys, *[F.when(F.col(f"_{n}") > 0, F.col(n)).alias(n) for n in groups])
+    return to_long(seen, keys, list(groups), "status", "n")
