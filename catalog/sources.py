@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ def scratch_folder(t: Tables, name: str) -> str:
     """A new folder beside the checkpoints, which every executor can reach."""
     ensure_checkpoint_dir(t.spark)
     base = t.spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{next(tempfile._get_candidate_names())}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 @query(
@@ -26,7 +26,7 @@ def scratch_folder(t: Tables, name: str) -> str:
     """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
 )
 def typed_table_scan(t: Tables) -> DataFrame:
-    orders = readers.read_parquet(t.spark, f"{t.folder}/orders.parquet")
+    orders = t.raw("orders")
     out = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
     return rounded(out, 2)
 

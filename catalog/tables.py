@@ -15,9 +15,27 @@ from pyspark.sql import functions as F
 from tallyweir.functions import dates
 from tallyweir.plans import canonical
 from tallyweir.plans.canonical import SeasonRule
+from tallyweir.sources.readers import read_parquet
+from tallyweir.sources.schemas import table
 
 FIRST_MONDAY = "1995-01-02"
 
+# Schemas of the given tables in use, so that no read starts with a job to find them.
+GIVEN = {
+    "nation": table("n_nationkey INT, n_name STRING, n_regionkey INT"),
+    "customer": table("c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"),
+    "part": table("p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"),
+    "orders": table(
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+        "o_orderpriority STRING"
+    ),
+    "lineitem": table(
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+        "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": table("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"),
+}
+
 # Seasons of the stand-in data; the rules have the form of the two real ones.
 WILD_SEASON = SeasonRule(species=("co-w",), size_classes=(None, "small", "big", "bigger", "biggest"))
 MIXED_SEASON = SeasonRule(
@@ -197,7 +215,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_parquet(self.spark, f"{self.folder}/{name}.parquet", GIVEN[name])
 
     def _derived(self, name: str) -> DataFrame:
         source, columns = _SOURCES[name]

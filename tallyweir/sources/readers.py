@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -76,10 +77,15 @@ def station_series(
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:
-    """Small lookup table typed into the analysis; its size is checked, so it may be broadcast."""
+    """Small lookup table typed into the analysis; its size is checked, so it may be broadcast.
+
+    It becomes a local relation, whose size the optimizer knows without running a job.
+    """
     if len(rows) > MAX_LITERAL_ROWS:
         raise ValueError("a literal table is for small lookups; write the data to a file instead")
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    names = [part.split()[0] for part in schema.split(",")]
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
+    return spark.createDataFrame(pa.table(dict(zip(names, columns))), schema)
 
 
 def literal_matrix(

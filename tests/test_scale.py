@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-from contextlib import redirect_stdout
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,13 +10,7 @@ from catalog.tables import Tables
 from tallyweir.operators import aggregates, ordering
 from tallyweir.session import ensure_checkpoint_dir
 from tallyweir.sources import readers, schemas, writers
-
-
-def plan(df) -> str:
-    text = io.StringIO()
-    with redirect_stdout(text):
-        df.explain("formatted")
-    return text.getvalue()
+from tests.oracle import plan
 
 
 def test_row_ids_with_a_hot_value(spark):
@@ -87,13 +78,3 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     assert "GreaterThan(l_quantity,10.0)" in shown and "GreaterThanOrEqual(l_shipdate" in shown
     shown = plan(REGISTRY["hours_worked_by_year"].run(Tables(spark, folder)))
     assert "o_totalprice" not in shown and "o_orderpriority" not in shown
-
-
-@pytest.mark.parametrize("name", [n for n in REGISTRY])
-def test_no_pair_joins_or_row_at_a_time_python(spark, folder, name):
-    """No plan pairs all rows of two sides, and Python runs only in the model fits and p-values."""
-    shown = plan(REGISTRY[name].run(Tables(spark, folder)))
-    assert "CartesianProduct" not in shown and "BroadcastNestedLoopJoin" not in shown
-    assert "BatchEvalPython" not in shown
-    if "FlatMapGroupsInPandas" in shown:
-        assert name in {"one_pool_fit", "candidate_stratified_fits", "ranked_models"}
