@@ -133,7 +133,7 @@ def first_and_last_in_order(t: Tables) -> DataFrame:
     """SELECT date, coalesce(string_agg(DISTINCT r_caudalclip, ',' ORDER BY r_caudalclip), '') AS marks FROM sv_fish GROUP BY 1""",
 )
 def distinct_values_as_text(t: Tables) -> DataFrame:
-    return t.fish.groupBy("date").agg(aggregates.distinct_text("r_caudalclip").alias("marks"))
+    return aggregates.distinct_text_by(t.fish, ["date"], "r_caudalclip", "marks")
 
 
 @query(

@@ -68,14 +68,19 @@ def with_time_of_day(d: str | Column, clock: str | Column) -> Column:
     )
 
 
+def _clock_seconds(t: str | Column) -> Column:
+    """Seconds on the wall clock since 1970, whatever the session time zone (no daylight-saving jumps)."""
+    t = col(t)
+    of_day = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    return F.unix_date(t.cast("date")).cast("bigint") * 86400 + of_day
+
+
 def minutes_between(start: str | Column, end: str | Column) -> Column:
-    seconds = F.timestamp_diff("SECOND", col(start), col(end))
-    return seconds / F.lit(60.0)
+    return (_clock_seconds(end) - _clock_seconds(start)) / F.lit(60.0)
 
 
 def hours_between(start: str | Column, end: str | Column) -> Column:
-    seconds = F.timestamp_diff("SECOND", col(start), col(end))
-    return seconds / F.lit(3600.0)
+    return (_clock_seconds(end) - _clock_seconds(start)) / F.lit(3600.0)
 
 
 def season_part(d: str | Column, cut: int) -> Column:

@@ -23,10 +23,18 @@ def last_by(x: str, order: str | Column) -> Column:
 
 
 def distinct_text(x: str | Column, separator: str = ",") -> Column:
-    """Distinct known values, sorted and joined; empty text when there are none."""
+    """Distinct known values, sorted and joined; empty text when there are none.
+
+    For tables reduced to few rows per group; see :func:`distinct_text_by` for observations.
+    """
     return F.array_join(F.array_sort(F.collect_set(x)), separator)
 
 
+def distinct_text_by(df: DataFrame, keys: Sequence[str], x: str, name: str, separator: str = ",") -> DataFrame:
+    """Distinct values of each group as text. Repeats are removed by hash before sets are collected."""
+    return df.select(*keys, x).distinct().groupBy(*keys).agg(distinct_text(x, separator).alias(name))
+
+
 def shares(df: DataFrame, keys: Sequence[str], value: str, name: str = "share") -> DataFrame:
     """Each row's share of its group's total, for tables that are aggregated already."""
     total = F.sum(value).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))

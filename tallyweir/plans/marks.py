@@ -38,12 +38,17 @@ def weekly_summary(fish: DataFrame, by_site: bool = False) -> DataFrame:
         sum_where(F.col("fate") == "sacrifice", "count").alias("sacrifices"),
         sum_where(F.col("fate") == "mort", "count").alias("morts"),
     ]
-    if by_site:
-        measures += [
-            distinct_text("a_caudalclip").alias("marks_applied"),
-            distinct_text("r_caudalclip").alias("marks_recovered"),
-        ]
-    return fish.withColumn("week_label", week_label("date")).groupBy(*keys).agg(*measures)
+    rows = fish.withColumn("week_label", week_label("date"))
+    if not by_site:
+        return rows.groupBy(*keys).agg(*measures)
+    # hash-aggregate down to one row per combination of marks before any set is collected
+    names = ("new_tags", "recaps", "unmarked", "sacrifices", "morts")
+    per_mark = rows.groupBy(*keys, "a_caudalclip", "r_caudalclip").agg(*measures)
+    return per_mark.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in names],
+        distinct_text("a_caudalclip").alias("marks_applied"),
+        distinct_text("r_caudalclip").alias("marks_recovered"),
+    )
 
 
 def sample_totals(

@@ -155,3 +155,14 @@ def test_required_rows(letters):
     assert checks.require_rows(letters, "empty") is letters
     with pytest.raises(ValueError, match="empty"):
         checks.require_rows(letters.where("id > 9"), "empty")
+
+
+def test_durations_ignore_the_session_time_zone(spark):
+    """Two in the morning does not exist on this date in the chosen zone."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 01:30:00' AS a, TIMESTAMP_NTZ'2024-03-10 04:00:00' AS b")
+        assert tuple(df.select(dates.minutes_between("a", "b"), dates.hours_between("b", "a")).first()) == (150.0, -2.5)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
