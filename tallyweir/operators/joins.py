@@ -49,7 +49,11 @@ def inner_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe:
 
 
 def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = True) -> DataFrame:
-    """Rows of both sides; each key column is filled from whichever side has it."""
+    """Rows of both sides; each key column is filled from whichever side has it.
+
+    A full join cannot be split at a hot key, so both sides should be aggregated to the keys first
+    (as the analyses here do).
+    """
     other = _renamed(right, on)
     joined = left.join(other, _match(left, other, on, null_safe), "full")
     keys = [F.coalesce(left[k], other[f"_r_{k}"]).alias(k) for k in on]

@@ -234,7 +234,11 @@ def candidate_models(
 
 
 def fit_models(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per season and model, fitted in parallel over the groups."""
+    """One row per season and model, fitted in parallel over the groups.
+
+    The cells are few but the fits are not free, so they are spread over a fixed number of
+    partitions: sized by bytes, they would all end up in one task.
+    """
     by = [*keys, "model_id"]
     types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in by) + ", " + FIT_COLUMNS
@@ -244,4 +248,5 @@ def fit_models(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         found = {**dict(zip(by, group)), **fit_season(pdf)}
         return pd.DataFrame([[found[name] for name in order]], columns=order)
 
-    return cells.groupBy(*by).applyInPandas(fit, schema)
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, *by).groupBy(*by).applyInPandas(fit, schema)

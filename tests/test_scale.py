@@ -78,3 +78,31 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     assert "GreaterThan(l_quantity,10.0)" in shown and "GreaterThanOrEqual(l_shipdate" in shown
     shown = plan(REGISTRY["hours_worked_by_year"].run(Tables(spark, folder)))
     assert "o_totalprice" not in shown and "o_orderpriority" not in shown
+
+
+def test_hot_join_key_is_split_at_run_time(spark):
+    """A third of the left rows share one key (here: the missing one); the join still matches and is split."""
+    from tallyweir.operators.joins import left_join
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 60000, numPartitions=12).select(
+            F.when(F.col("id") % 3 > 0, F.col("id") % 997).alias("k"), F.xxhash64("id").alias("v")
+        )
+        right = spark.range(997).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionByName(
+            spark.sql("SELECT CAST(NULL AS BIGINT) AS k, -1L AS w"))
+        out = left_join(left, right, ["k"])
+        rows = out.collect()
+        assert len(rows) == 60000 and all(r.w == (-1 if r.k is None else 2 * r.k) for r in rows)
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
