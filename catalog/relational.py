@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.tables import REPEAT_RULES, Tables
 from tallyweir.functions import missing
 from tallyweir.operators import checks, ordering, reshape
-from tallyweir.operators.joins import left_join, unmatched
+from tallyweir.operators.joins import unmatched
 from tallyweir.sources.readers import literal_table
 
 # ---- projections ------------------------------------------------------------------------
@@ -342,9 +342,7 @@ def rows_without_partner(t: Tables) -> DataFrame:
 )
 def join_then_missing(t: Tables) -> DataFrame:
     """Fish without a reading, or whose reading has no code: not the same as an anti join."""
-    from tallyweir.plans.report import age_records
+    from tallyweir.plans.report import age_records, fish_without_age_code
 
     ages = age_records(t.ages, range(1995, 2002)).where(F.col("scale_number").isNotNull())
-    codes = ages.select("year", "scale_number", "eu_age", "age_code")
-    out = left_join(t.fish.select("row_label", "scale_number", "year"), codes, ["year", "scale_number"])
-    return out.where(F.col("age_code").isNull())
+    return fish_without_age_code(t.fish.select("row_label", "scale_number", "year"), ages)

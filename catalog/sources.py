@@ -95,7 +95,7 @@ def literal_lookup(t: Tables) -> DataFrame:
         "head_mold_size STRING, length_range_mm STRING",
     )
     counts = t.fish.groupBy("head_mold_size").agg(F.count(F.lit(1)).alias("n"))
-    return left_join(counts, F.broadcast(key), ["head_mold_size"])
+    return left_join(counts, key, ["head_mold_size"])
 
 
 @query(
@@ -112,7 +112,7 @@ def literal_matrix_weights(t: Tables) -> DataFrame:
     cells = t.raw("lineitem").groupBy("l_linenumber", r.alias("r"), (1 + F.col("l_linenumber") % 2).alias("c")).agg(
         F.sum("l_quantity").alias("q")
     )
-    out = cells.join(F.broadcast(weights), ["r", "c"]).groupBy("l_linenumber").agg(
+    out = cells.join(weights, ["r", "c"]).groupBy("l_linenumber").agg(
         F.sum(F.col("q") * F.col("value")).alias("weighted")
     )
     return rounded(out, 2)

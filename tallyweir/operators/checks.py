@@ -38,5 +38,5 @@ def unmapped(df: DataFrame, source: str, mapped: str) -> DataFrame:
 
 
 def drop_matching(df: DataFrame, rules: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows for which no exclusion rule exists (rules are a small typed-in table)."""
-    return unmatched(df, F.broadcast(rules), on, null_safe=False)
+    """Rows for which no exclusion rule exists. A typed-in rule table has a known size and needs no hint."""
+    return unmatched(df, rules, on, null_safe=False)

@@ -129,9 +129,7 @@ def run_timing(adults: DataFrame, species: str = "co", width: float | None = 1.0
 
 def scale_subsample(adults: DataFrame, rejected: Sequence[int] = UNREADABLE_BOOKS, width: float = 50) -> DataFrame:
     """Animals with a scale book, their length bin and whether the book was rejected."""
-    table = F.broadcast(
-        literal_table(adults.sparkSession, [(b, "x") for b in rejected], "scale_book BIGINT, no_good STRING")
-    )
+    table = literal_table(adults.sparkSession, [(b, "x") for b in rejected], "scale_book BIGINT, no_good STRING")
     rows = adults.where(F.col("scale_book").isNotNull())
     return left_join(rows, table, ["scale_book"]).withColumn("length_bin", bin_floor("fork_length_mm", width))
 

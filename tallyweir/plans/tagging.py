@@ -85,7 +85,7 @@ def tag_summary_by_mold(log: DataFrame, length_key: Sequence[tuple[str | None, s
     """
     table = literal_table(log.sparkSession, length_key, "head_mold_size STRING, length_range_mm STRING")
     out = accounting.release_summary(_batches(log), ["tag_code", "head_mold_size"], F.col("inj"))
-    return left_join(accounting.retention_percent(out), F.broadcast(table), ["head_mold_size"])
+    return left_join(accounting.retention_percent(out), table, ["head_mold_size"])
 
 
 def injections(fish: DataFrame, keys: Sequence[str], live_only: bool = True) -> DataFrame:
@@ -105,7 +105,7 @@ def injections_with_rates(fish: DataFrame, log: DataFrame, overrides=RATE_OVERRI
     table = literal_table(fish.sparkSession, overrides, "tag_code STRING, iso_week INT, rate DOUBLE")
     daily = injections(fish, ["iso_week", "date", "site", "tag_code", "head_mold_size"]).drop("mort_n", "sacrifice_n")
     rated = left_join(daily, detailed_retention(log), ["iso_week", "tag_code", "head_mold_size"])
-    return accounting.apply_overrides(rated, F.broadcast(table))
+    return accounting.apply_overrides(rated, table)
 
 
 def retags(log: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StructType
+
+from tallyweir.functions.missing import nan_to_null
 
 MAX_LITERAL_ROWS = 10_000
 
@@ -29,14 +31,21 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Delimited text with a header line. Without a schema all columns stay text (cast them after)."""
-    reader = spark.read.option("header", True).option("enforceSchema", False)
+    """Delimited text with a header line; empty cells and ``NA`` are missing.
+
+    Without a schema all columns stay text (cast them with :func:`typed`).
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("nullValue", "NA")
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
 def typed(df: DataFrame, schema: StructType) -> DataFrame:
-    """Cast the columns named in ``schema``; a cell that does not fit becomes NULL."""
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Cast the columns named in ``schema``; a cell that does not fit, or is not a number, becomes NULL."""
+    cells = []
+    for f in schema.fields:
+        cell = F.col(f.name).try_cast(f.dataType)
+        cells.append((nan_to_null(cell) if isinstance(f.dataType, (DoubleType, FloatType)) else cell).alias(f.name))
+    return df.select(*cells)
 
 
 def read_csv_with_preamble(
@@ -100,9 +109,3 @@ def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """Every date from ``first`` to ``last``, both included."""
     days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
     return spark.range(1).select(F.explode(days).alias("date"))
-
-
-def lookup_expr(x: Column, mapping: Mapping[Any, Any]) -> Column:
-    """Value from a small typed-in map, NULL when the key is absent."""
-    pairs = [F.lit(p) for kv in mapping.items() for p in kv]
-    return F.create_map(*pairs)[x]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder of CSV parts with headers; empty cells for NULL."""
+    """One folder of CSV parts with headers; empty cells for NULL (text blanks are quoted)."""
     df.write.mode(mode).option("header", True).option("nullValue", "").csv(path)
 
 

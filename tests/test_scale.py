@@ -46,11 +46,11 @@ def test_preamble_lines_are_skipped(spark, tmp_path):
 
 
 def test_headers_and_bad_cells(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("Head Mold (lbs),GR AGE\n10,22\nten,\n")
+    (tmp_path / "t.csv").write_text("Head Mold (lbs),GR AGE,Site\n10,22,barn\nten,,\nNaN,NA,NA\n")
     df = readers.snake_columns(readers.read_csv(spark, str(tmp_path / "t.csv")))
-    assert df.columns == ["head_mold_lbs", "gr_age"]
-    out = readers.typed(df, schemas.table("head_mold_lbs DOUBLE, gr_age INT")).collect()
-    assert [tuple(r) for r in out] == [(10.0, 22), (None, None)]
+    assert df.columns == ["head_mold_lbs", "gr_age", "site"]
+    out = readers.typed(df, schemas.table("head_mold_lbs DOUBLE, gr_age INT, site STRING")).collect()
+    assert [tuple(r) for r in out] == [(10.0, 22, "barn"), (None, None, None), (None, None, None)]
 
 
 def test_partitioned_copy_prunes_folders(spark, folder, tmp_path):
