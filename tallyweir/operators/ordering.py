@@ -11,14 +11,17 @@ from tallyweir.functions.numbers import level_rank
 from tallyweir.session import materialise
 
 
-def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "row_id") -> DataFrame:
+def with_row_id(
+    df: DataFrame, order_by: Sequence[str], name: str = "row_id", partitions: int | None = None
+) -> DataFrame:
     """Number all rows 1..n in the given order without sorting them in one task.
 
     Rows are range-partitioned and sorted, written once so that the numbering cannot change on a
     retry, and numbered inside each partition; each partition then adds the sizes of those before
-    it. Give enough columns to make the order unique: that also lets a hot value be split.
+    it. Give enough columns to make the order unique: that also lets a hot value be split. ``partitions`` defaults to the
+    session's number of shuffle partitions.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc_nulls_last() for c in order_by]
     # monotonically_increasing_id is partition * 2^33 + position in the partition
     position = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
