@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,26 @@ def build_session(app_name: str = "tallyweir", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per Spark application.
+
+    Python functions of the package are pickled by name, so the workers must be able to import it
+    wherever the driver was started from.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyweir_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallyweir-code-"), "tallyweir.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._tallyweir_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints: the one the cluster names, else a local one in local mode."""
     sc = spark.sparkContext
