@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import quality
+from tallyweir.llm import pii, quality
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +59,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM bits
 """
 
+def op4_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.spans(_read(spark, folder, "documents"))
+    base = tuple(k.name for k in pii.BASE_KINDS)
+
+    def n(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[n(kind) for kind in base],
+        F.sha2(pii.listed(F.filter("spans", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Run] = {
     "op3_quality_ledger": op3_quality_ledger,
+    "op4_pii_spans": op4_pii_spans,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_ledger": OP3_SQL,
