@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import pii, quality
+from tallyweir.llm import decontaminate, pii, quality
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,42 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_benchmark_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    rows = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return rows.select(
+        F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS win, len(w[i:i + 12]) AS n
+  FROM b, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS u(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM win
+), places AS (
+  SELECT doc_id, i, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS win
+  FROM d, sizes, unnest(generate_series(1, len(w) - n + 1)) AS u(i) WHERE len(w) >= n
+), occ AS (
+  SELECT doc_id, item_id, i, n FROM places JOIN win USING (win, n)
+), hit AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM occ), unnest(generate_series(0, n - 1)) AS u(k) GROUP BY doc_id
+), ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
 def op3_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.ledger(_read(spark, folder, "documents"))
     return rows.select(
@@ -74,9 +110,11 @@ def op4_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op1_benchmark_overlap": op1_benchmark_overlap,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_pii_spans": op4_pii_spans,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_overlap": OP1_SQL,
     "op3_quality_ledger": OP3_SQL,
 }
