@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import decontaminate, pii, quality
+from tallyweir.llm import decontaminate, pieces, pii, quality
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -109,10 +109,15 @@ def op4_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip_digests(_read(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_benchmark_overlap": op1_benchmark_overlap,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_pii_spans": op4_pii_spans,
+    "op6_piece_round_trip": op6_piece_round_trip,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_overlap": OP1_SQL,
