@@ -24,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 MARK = "▁"
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 300_000
 CACHED_CHARS = 64
 BATCH_BYTES = 8 << 20
 
@@ -67,13 +68,19 @@ class PieceModel:
             if MARK in piece[1:] and piece.strip(MARK):
                 raise ValueError("a piece holds a space mark after another character; chunks would not be independent")
         self.byte_id = {value: i for i, value in self.byte_value.items()}
+        # Only pieces that merging can arrive at take part. ``shorter`` leads from a piece to the longest piece that
+        # is a proper prefix of it, so one longest match gives all pieces that fit at a place.
+        alphabet = {piece for piece in self.normal if len(piece) == 1}
+        self.known = frozenset(alphabet)
+        whole_ = [piece for piece in self.normal if self.merged(piece) == [piece]]
         self.automaton = ahocorasick.Automaton()
-        for piece in self.normal:
-            self.automaton.add_word(piece, piece)
+        for piece in whole_:
+            self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
+        made = set(whole_)
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in made), None) for p in whole_}
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.reachable: dict[str, bool] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.chunks: dict[str, tuple[tuple[int, ...], str, str, int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging from single characters gives: best score first, leftmost first among equals."""
@@ -102,95 +109,88 @@ class PieceModel:
             offer(i)
         return [p for p in parts if p]
 
-    def _fits(self, left: str, right: str) -> bool:
-        """Whether ``left`` may stand directly before ``right``."""
-        pair = (left, right)
-        known = self.compatible.get(pair)
-        if known is None:
-            known = self.compatible[pair] = self.merged(left + right) == [left, right]
-            if len(self.compatible) > 4 * CACHE_CHUNKS:
-                self.compatible.clear()
-        return known
-
-    def _stands(self, piece: str) -> bool:
-        """Whether merging the characters of a piece arrives at the piece."""
-        known = self.reachable.get(piece)
-        if known is None:
-            known = self.reachable[piece] = self.merged(piece) == [piece]
+    def _fits(self, pair: tuple[str, str]) -> bool:
+        """Whether the first piece may stand directly before the second; found by merging their characters anew."""
+        if len(self.compatible) > 4 * CACHE_CHUNKS:
+            self.compatible.clear()
+        known = self.compatible[pair] = self.merged(pair[0] + pair[1]) == [pair[0], pair[1]]
         return known
 
     def backtracked(self, text: str) -> list[str]:
         """The pieces of a text that consists of known characters."""
         n = len(text)
-        ending: list[list[str]] = [[] for _ in range(n)]  # by start: the pieces that fit there, longest last
-        for end, piece in self.automaton.iter(text):
-            if self._stands(piece):
-                ending[end - len(piece) + 1].append(piece)
-        open_ = bytearray(b"\x01" * (n + 1))
+        longest: list[str | None] = [None] * n
+        for end, (size, piece) in self.automaton.iter(text):  # ends ascend, so the longest at a start comes last
+            longest[end - size + 1] = piece
+        open_ = bytearray(b"\x01") * (n + 1)
+        compatible, shorter = self.compatible, self.shorter
         out: list[str] = []
-        tried: list[int] = []  # for each accepted piece: how many of the pieces at its start are still untried
-        at = 0
-        left = len(ending[0]) if n else 0
+        at, last, piece = 0, "", longest[0] if n else None
         while at < n:
-            options, chosen = ending[at], None
-            while left:
-                left -= 1
-                piece = options[left]
-                if open_[at + len(piece)] and (not out or self._fits(out[-1], piece)):
-                    chosen = piece
-                    break
-            if chosen is not None:
-                out.append(chosen)
-                tried.append(left)
-                at += len(chosen)
-                left = len(ending[at]) if at < n else 0
+            while piece is not None:
+                if open_[at + len(piece)]:
+                    if not last:
+                        break
+                    pair = (last, piece)
+                    fits = compatible.get(pair)
+                    if fits is None:
+                        fits = self._fits(pair)
+                    if fits:
+                        break
+                piece = shorter[piece]
+            if piece is not None:
+                out.append(piece)
+                at += len(piece)
+                last, piece = piece, longest[at] if at < n else None
                 continue
             open_[at] = 0
             if not out:
                 raise ValueError("no encoding; the vocabulary lacks a character")
-            last = out.pop()
-            left = tried.pop()
-            at -= len(last)
+            gone = out.pop()
+            at -= len(gone)
+            last, piece = out[-1] if out else "", shorter[gone]
         return out
 
+    def _pieces_of(self, run: str) -> list[str]:
+        return self.merged(run) if run.startswith(MARK + MARK) else self.backtracked(run)
+
     def _encode_chunk(self, chunk: str) -> list[int]:
+        normal = self.normal
+        if self.known.issuperset(chunk):
+            return [normal[p] for p in self._pieces_of(chunk)]
         ids: list[int] = []
-        run = ""
-        for char in chunk + "\0\0":
-            if char in self.normal:
-                run += char
-                continue
-            if run:
-                pieces = self.merged(run) if run.startswith(MARK + MARK) else self.backtracked(run)
-                ids.extend(self.normal[p] for p in pieces)
-                run = ""
-            ids.extend(self.byte_id[b] for b in char.encode())
-        return ids[:-2]
-
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a chunk, and the same ids as text."""
+        for known, group in groupby(chunk, self.known.__contains__):
+            run = "".join(group)
+            ids.extend([normal[p] for p in self._pieces_of(run)] if known else [self.byte_id[b] for b in run.encode()])
+        return ids
+
+    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str, int]:
+        """Ids of a chunk, the same ids as text, what they decode to inside a text, and their number."""
         known = self.chunks.get(chunk)
         if known is None:
             ids = tuple(self._encode_chunk(chunk))
-            known = (ids, " ".join(map(str, ids)))
+            known = (ids, " ".join(map(str, ids)), self.decode(ids, inside=True), len(ids))
             if len(chunk) <= CACHED_CHARS:
                 if len(self.chunks) >= CACHE_CHUNKS:
                     self.chunks.clear()
                 self.chunks[chunk] = known
         return known
 
-    def _chunks_of(self, text: str) -> list[str]:
+    def chunks_of(self, text: str) -> list[str]:
         return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str | None, end: bool = True) -> list[int]:
-        ids = [i for chunk in self._chunks_of(text or "") for i in self.chunk(chunk)[0]]
+        ids = [i for chunk in self.chunks_of(text or "") for i in self.chunk(chunk)[0]]
         return [*ids, self.end_id] if end else ids
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: control ids give nothing, byte pieces are joined to characters, the leading mark goes."""
+    def decode(self, ids: Sequence[int], inside: bool = False) -> str:
+        """Text of ids: control ids give nothing, byte pieces are joined to characters, the leading mark goes.
+
+        With ``inside`` the ids follow others, and a leading mark is a space.
+        """
         out: list[str] = []
         run = bytearray()
-        first = True
+        first = not inside
 
         def flush() -> None:
             if run:
@@ -308,12 +308,18 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, text: str
 
 
 def _digest(model: PieceModel, text: str | None) -> tuple[int, str, str]:
-    """Number of ids with the end id, hash of the ids as text, hash of the decoded text."""
-    parts = [model.chunk(c) for c in model._chunks_of(text or "")]
-    ids = [i for part in parts for i in part[0]]
-    ids.append(model.end_id)
-    listed = " ".join([*(p[1] for p in parts), str(model.end_id)])
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()
+    """Number of ids with the end id, hash of the ids as text, hash of the decoded text.
+
+    Every chunk after the first starts with a piece that begins with a mark, so byte pieces never run on
+    into the next chunk, and the texts of the chunks' ids make up the text of all ids.
+    """
+    cuts = model.chunks_of(text or "")
+    parts = list(map(model.chunks.get, cuts))
+    if None in parts:
+        parts = [known or model.chunk(cut) for known, cut in zip(parts, cuts, strict=True)]
+    listed = " ".join([*[p[1] for p in parts], str(model.end_id)])
+    decoded = "".join([p[2] for p in parts])[1:]  # the leading mark goes
+    return sum([p[3] for p in parts]) + 1, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def round_trip_digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
