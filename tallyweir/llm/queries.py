@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import decontaminate, pieces, pii, quality
+from tallyweir.llm import decontaminate, pieces, pii, quality, token_files
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -113,11 +113,18 @@ def op6_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip_digests(_read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    target = token_files.shared_folder(spark, "token-files")
+    index = token_files.write(_read(spark, folder, "documents"), target, end_id=1)
+    return token_files.checksums(spark, target, index)
+
+
 QUERIES: dict[str, Run] = {
     "op1_benchmark_overlap": op1_benchmark_overlap,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_pii_spans": op4_pii_spans,
     "op6_piece_round_trip": op6_piece_round_trip,
+    "op7_token_files": op7_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_overlap": OP1_SQL,
