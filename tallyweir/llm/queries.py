@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import decontaminate, pieces, pii, quality, token_files
+from tallyweir.llm import decontaminate, jaccard, pieces, pii, quality, token_files
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -119,14 +119,39 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(spark, target, index)
 
 
+def op9_gram_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^ 	-]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram
+  FROM d, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS u(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)
+), reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS m FROM r GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = d.doc_id
+"""
+
 QUERIES: dict[str, Run] = {
     "op1_benchmark_overlap": op1_benchmark_overlap,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_pii_spans": op4_pii_spans,
     "op6_piece_round_trip": op6_piece_round_trip,
     "op7_token_files": op7_token_files,
+    "op9_gram_components": op9_gram_components,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_overlap": OP1_SQL,
     "op3_quality_ledger": OP3_SQL,
+    "op9_gram_components": OP9_SQL,
 }
