@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import decontaminate, jaccard, pieces, pii, quality, token_files
+from tallyweir.llm import decontaminate, jaccard, pieces, pii, quality, repeats, token_files
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,14 @@ def op4_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repeats.repeat_digests(_read(spark, folder, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op6_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip_digests(_read(spark, folder, "documents").select("doc_id", "text"))
 
@@ -126,7 +134,8 @@ def op9_gram_components(spark: SparkSession, folder: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^ 	-]+') AS w FROM documents
+         '[^ 	-
+]+') AS w FROM documents
 ), g AS (
   SELECT DISTINCT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram
   FROM d, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS u(i) WHERE len(w) > 0
@@ -146,6 +155,7 @@ QUERIES: dict[str, Run] = {
     "op1_benchmark_overlap": op1_benchmark_overlap,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_pii_spans": op4_pii_spans,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_piece_round_trip": op6_piece_round_trip,
     "op7_token_files": op7_token_files,
     "op9_gram_components": op9_gram_components,
