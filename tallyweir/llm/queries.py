@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import decontaminate, jaccard, pieces, pii, quality, repeats, token_files
+from tallyweir.llm import decontaminate, jaccard, pages, pieces, pii, quality, repeats, token_files
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +127,10 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(spark, target, index)
 
 
+def op8_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(_read(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op9_gram_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -158,6 +162,7 @@ QUERIES: dict[str, Run] = {
     "op5_repeated_bytes": op5_repeated_bytes,
     "op6_piece_round_trip": op6_piece_round_trip,
     "op7_token_files": op7_token_files,
+    "op8_page_text": op8_page_text,
     "op9_gram_components": op9_gram_components,
 }
 ORACLE_SQL: dict[str, str] = {
