@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import decontaminate, jaccard, pages, pieces, pii, quality, repeats, token_files
+from tallyweir.llm import classifier, decontaminate, jaccard, pages, pieces, pii, quality, repeats, token_files
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +135,16 @@ def op9_gram_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _read(spark, folder, "documents").select("doc_id", "text"), _read(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = classifier.fit(docs, labels.where(~held_out))
+    return (
+        classifier.score(docs, model)
+        .select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
+    )
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -164,6 +174,7 @@ QUERIES: dict[str, Run] = {
     "op7_token_files": op7_token_files,
     "op8_page_text": op8_page_text,
     "op9_gram_components": op9_gram_components,
+    "op10_quality_score": op10_quality_score,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_overlap": OP1_SQL,
