@@ -205,7 +205,7 @@ def classes(first: DataFrame) -> DataFrame:
     return docs.join(reps, ["hi", "lo"]).select("id", "n", "rep")
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def few_rows(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` hinted for broadcast if it was counted to have at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -295,7 +295,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     salted = stored(pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block")), "blocks")
     queries = blocks.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     wanted = salted.unionAll(queries.select("a", "b", F.col("block").cast("int")))
-    rows = texts.join(_small(stored(wanted, "wanted").withColumnRenamed("a", "id")), "id")
+    rows = texts.join(few_rows(stored(wanted, "wanted").withColumnRenamed("a", "id")), "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, query, ids, sets = None, None, [], []
@@ -332,7 +332,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     texts = _texts(docs, doc_id, text)
     first = stored(_first_pass(texts), "sets")
     members = stored(classes(first), "classes")
-    others = _small(members.where("id <> rep").select("id"))
+    others = few_rows(members.where("id <> rep").select("id"))
     alone = texts.join(others, "id", "left_anti")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     short = stored(_short_lists(alone, _rarity(first), percent, partitions), "short")

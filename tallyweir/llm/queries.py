@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import classifier, decontaminate, jaccard, pages, pieces, pii, quality, repeats, token_files
+from tallyweir.llm import classifier, decontaminate, jaccard, licenses, pages, pieces, pii, quality, repeats, token_files
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,37 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = licenses.scan(_read(spark, folder, "documents"))
+    return rows.select(F.col("doc").alias("doc_id"), "n_windows", F.array_join("licenses", ",").alias("licenses"))
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+OP2_SQL = r"""
+WITH t AS (
+  SELECT license, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES TEMPLATE_ROWS) AS v(license, text)
+), ts AS (
+  SELECT DISTINCT license, list_aggregate(w, 'string_agg', ' ') AS part, list_aggregate(w[i:i + 2], 'string_agg', ' ') AS s
+  FROM t, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS u(i)
+), n AS (SELECT license, part, count(*) AS n FROM ts GROUP BY ALL
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), ds AS (
+  SELECT doc_id, i - 1 AS pos, list_aggregate(w[i:i + 2], 'string_agg', ' ') AS s
+  FROM d, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS u(i) WHERE len(w) > 0
+), inside AS (
+  SELECT doc_id, s, b * 24 AS win FROM ds, unnest([pos // 24 - 1, pos // 24]) AS u(b) WHERE b >= 0 AND pos + 3 <= b * 24 + 48
+), hit AS (
+  SELECT doc_id, win, license, part, count(DISTINCT s) AS shared FROM inside JOIN ts USING (s) GROUP BY ALL
+), ok AS (SELECT * FROM hit JOIN n USING (license, part) WHERE 100 * shared >= 75 * n
+)
+SELECT d.doc_id, CAST(count(DISTINCT CASE WHEN win IS NOT NULL THEN concat(win, ':', part) END) AS BIGINT) AS n_windows, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
+FROM d LEFT JOIN ok USING (doc_id) GROUP BY d.doc_id
+""".replace("TEMPLATE_ROWS", _TEMPLATE_ROWS)
+
+
 def op3_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.ledger(_read(spark, folder, "documents"))
     return rows.select(
@@ -167,6 +198,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = d.doc_id
 
 QUERIES: dict[str, Run] = {
     "op1_benchmark_overlap": op1_benchmark_overlap,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_pii_spans": op4_pii_spans,
     "op5_repeated_bytes": op5_repeated_bytes,
@@ -178,6 +210,7 @@ QUERIES: dict[str, Run] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_overlap": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
     "op3_quality_ledger": OP3_SQL,
     "op9_gram_components": OP9_SQL,
 }
