@@ -14,12 +14,17 @@ table passes through as an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.llm import decontaminate, jaccard, pieces, pii, quality
 from tallyweir.llm.links import stored
+from tallyweir.session import ship_package
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 POLICY = "v1"
 KEY = "__key"
 
@@ -73,12 +78,24 @@ def piece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pieces.round_trip_digests(docs.select("doc_id", "lang", "source", "n_chars", "text"))
 
 
+def _shipped(stage: Stage) -> Stage:
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("pieces", piece_round_trip),
+    (name, _shipped(stage))
+    for name, stage in (
+        ("quality_rules", quality_rules),
+        ("near_duplicates", near_duplicates),
+        ("decontamination", decontamination),
+        ("personal_data", personal_data),
+        ("pieces", piece_round_trip),
+    )
 ]
 #: SQL can't express the last stage; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
