@@ -176,17 +176,23 @@ def two_level_totals(t: Tables) -> DataFrame:
     return rounded(daily.groupBy("year").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("days"), F.avg("n").alias("per_day")))
 
 
+_LOG_COLUMNS = (
+    ("tag_date", "date"), ("tag_code", "string"), ("head_mold_size", "string"), ("inj_n", "double"), ("mort_n", "double"),
+    ("sacrifice_n", "double"), ("r_check_date", "date"), ("r_retention_n", "double"), ("r_sample_size", "double"),
+    ("r_re_tagged_n", "double"),
+)
+
+
 @query(
     "AGG-23",
     "\nUNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{k}' AS data_type, count({c}) AS n_known, count(*) - count({c}) AS n_missing, "
-        f"CAST(min({c}) AS VARCHAR) AS smallest, CAST(max({c}) AS VARCHAR) AS largest FROM sv_log"
-        for c, k in (("tag_date", "date"), ("tag_code", "string"), ("inj_n", "double"), ("r_sample_size", "double"))
+        f"count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS smallest, CAST(max({c}) AS VARCHAR) AS largest FROM sv_log"
+        for c, k in _LOG_COLUMNS
     ),
 )
 def column_profile(t: Tables) -> DataFrame:
-    out = aggregates.profile(t.log.select("tag_date", "tag_code", "inj_n", "r_sample_size"))
-    return out.drop("n_distinct_approx")
+    return aggregates.profile(t.log, exact=True)
 
 
 # ---- window-shaped ----------------------------------------------------------------------

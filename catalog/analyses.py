@@ -219,7 +219,8 @@ def species_totals(t: Tables) -> DataFrame:
     "P38 PRJ-05 RSH-02 SRT-02",
     """WITH named AS (SELECT CASE species WHEN 'co-w' THEN 'Coho (wild)' WHEN 'co-w.r' THEN 'Coho (wild) recap' WHEN 'co-h' THEN 'Coho (hatchery)'
          WHEN 'st/rb' THEN 'Steelhead or Rainbow trout' WHEN 'ct' THEN 'Cutthroat' WHEN 'ch' THEN 'Chinook' ELSE species END AS species, site, count FROM sv_mixed)
-       SELECT species, coalesce(sum(count) FILTER (WHERE site = 'barn'), 0) AS barn, coalesce(sum(count) FILTER (WHERE site = 'fence'), 0) AS fence
+       SELECT species, coalesce(sum(count) FILTER (WHERE site = 'barn'), 0) AS barn, coalesce(sum(count) FILTER (WHERE site = 'fence'), 0) AS fence,
+         coalesce(sum(count) FILTER (WHERE coalesce(site, '') NOT IN ('barn', 'fence')), 0) AS other
        FROM named GROUP BY 1""",
 )
 def species_by_site(t: Tables) -> DataFrame:

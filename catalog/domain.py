@@ -367,6 +367,25 @@ def release_recovery_matrix(t: Tables) -> DataFrame:
     return rounded(marks.mark_matrix(t.wild))
 
 
+def _bounded(sql: str) -> str:
+    """The same over the weeks in which batch marks alternate."""
+    return sql.replace("FROM sv_wild", "FROM (SELECT * FROM sv_wild WHERE iso_week >= 19)")
+
+
+@query("P34", _bounded("""SELECT iso_year, iso_week, week, coalesce(sum(count) FILTER (WHERE r_adclip IS NULL), 0) AS n
+    FROM sv_wild WHERE site = 'fence' GROUP BY 1, 2, 3"""))
+def weekly_unmarked_of_mark_weeks(t: Tables) -> DataFrame:
+    return marks.weekly_unmarked(t.wild, first_week=marks.FIRST_MARK_WEEK)
+
+
+@query(
+    "DOM-12 P35",
+    _bounded(f"{_MATRIX} SELECT iso_year, release_week, recover_week, round(n, 6) AS n, ambiguous, kind FROM matrix"),
+)
+def release_recovery_matrix_of_mark_weeks(t: Tables) -> DataFrame:
+    return rounded(marks.mark_matrix(t.wild, first_week=marks.FIRST_MARK_WEEK))
+
+
 _POOLS = f"""{_MATRIX},
 strata AS (SELECT iso_year, release_week AS stratum, sum(n) AS released, coalesce(sum(n) FILTER (WHERE kind = 'recovered'), 0) AS recaps
   FROM matrix WHERE kind IN ('recovered', 'never') GROUP BY 1, 2),
@@ -427,6 +446,33 @@ def candidate_stratified_fits(t: Tables) -> DataFrame:
     return estimates.candidate_fits(marks.mark_matrix(t.wild))
 
 
+@query(
+    "DOM-14 SET-03 P36",
+    f"""{_POOLS}, own AS (SELECT * FROM matrix WHERE kind <> 'unassigned'),
+    shape AS (SELECT iso_year, count(DISTINCT release_week) FILTER (WHERE kind IN ('recovered', 'never')) AS n_rows,
+        count(DISTINCT recover_week) FILTER (WHERE kind IN ('recovered', 'unmarked')) AS weeks,
+        count(DISTINCT recover_week) FILTER (WHERE kind = 'recovered') AS filled, count(*) FILTER (WHERE kind = 'recovered') AS cells FROM own GROUP BY 1),
+    spot AS (SELECT u.iso_year, coalesce(max(f.w) FILTER (WHERE f.w <= u.recover_week), min(f.w)) AS w, any_value(u.n) AS n
+      FROM (SELECT * FROM own WHERE kind = 'unmarked') u JOIN (SELECT DISTINCT iso_year, recover_week AS w FROM own WHERE kind = 'recovered') f
+        ON u.iso_year = f.iso_year GROUP BY u.iso_year, u.recover_week),
+    caught AS (SELECT iso_year, count(*) FILTER (WHERE n > 0) AS n FROM (SELECT iso_year, w, sum(n) AS n FROM spot GROUP BY 1, 2) GROUP BY 1),
+    named AS (SELECT iso_year, stratum, recaps, 'Logical pooling to single row (LP)' AS model_id, 'all' AS pool FROM pools
+      UNION ALL SELECT iso_year, stratum, recaps, 'Full weekly strata', CAST(stratum AS VARCHAR) FROM pools
+      UNION ALL SELECT iso_year, stratum, recaps, 'Auto (logical) pooling', CAST(pool AS VARCHAR) FROM pools),
+    models AS (SELECT iso_year, model_id, count(*) AS n_pools, bool_and(recaps > 0) AS usable
+      FROM (SELECT iso_year, model_id, pool, sum(recaps) AS recaps FROM named GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT iso_year, model_id, CAST(n_rows AS INT) AS n_rows, CAST(CASE WHEN filled = 0 THEN weeks ELSE filled END AS INT) AS n_cols,
+      CAST(n_pools AS INT) AS n_pools, CAST(CASE WHEN filled = 0 THEN 0 ELSE weeks - filled END AS INT) AS merged_weeks,
+      CAST(CASE WHEN usable AND caught.n > 0 THEN cells + n_rows + n_pools END AS INT) AS np,
+      CAST(CASE WHEN usable AND caught.n > 0 THEN caught.n - n_pools END AS INT) AS gof_df
+    FROM models JOIN shape USING (iso_year) LEFT JOIN caught USING (iso_year)""",
+)
+def candidate_fit_shapes(t: Tables) -> DataFrame:
+    """What each candidate fit is made of: everything about it that needs no iteration."""
+    fits = estimates.candidate_fits(marks.mark_matrix(t.wild))
+    return fits.select("iso_year", "model_id", "n_rows", "n_cols", "n_pools", "merged_weeks", "np", "gof_df")
+
+
 @query("DOM-15 WIN-02 SRT-05 P37")
 def ranked_models(t: Tables) -> DataFrame:
     return estimates.model_report(estimates.candidate_fits(marks.mark_matrix(t.wild)))

@@ -117,7 +117,7 @@ def inner_join_shared_keys(t: Tables) -> DataFrame:
     from tallyweir.plans.report import age_records, aged_fish
 
     fish = t.fish.select("row_label", "fork_length_mm", "year", "scale_number")
-    ages = age_records(t.ages, range(1995, 2002)).where(F.col("scale_number").isNotNull())
+    ages = age_records(t.ages).where(F.col("scale_number").isNotNull())
     return aged_fish(fish, ages)
 
 

@@ -93,12 +93,12 @@ def predicted_weights(t: Tables) -> DataFrame:
 
 @query(
     "MOD-03 P26",
-    f"""WITH line AS (SELECT gr_age, {_LINE} FROM (SELECT gr_age, (date - DATE '1970-01-01')::DOUBLE AS x, fork_length_mm AS y FROM sv_fish
+    f"""WITH line AS (SELECT gr_age, {_LINE} FROM (SELECT gr_age, (date - DATE '1970-01-01')::DOUBLE AS x, fork_length_mm AS y FROM sv_wild
         WHERE gr_age IN ('22', '33', '44') AND fork_length_mm >= 70) GROUP BY 1),
     {_LINE_SE} SELECT gr_age, {_LINE_COLUMNS} FROM fit""",
 )
 def length_lines_by_age(t: Tables) -> DataFrame:
-    return _line(report.length_by_age_lines(t.fish), "gr_age")
+    return _line(report.length_by_age_lines(t.wild), "gr_age")
 
 
 @query(
@@ -121,14 +121,20 @@ tot AS (SELECT sum(sxx) AS sxx, sum(sxy) / sum(sxx) AS b, sum(n) - count(*) - 1
 coefs AS (SELECT 'slope' AS term, b AS estimate, sqrt(s2 / sxx) AS std_error, df FROM tot
   UNION ALL SELECT 'intercept', my0 - b * mx0, sqrt(s2 * (1 / n0 + mx0 * mx0 / sxx)), df FROM tot
   UNION ALL SELECT '{name}=' || f, (my - b * mx) - (my0 - b * mx0), sqrt(s2 * (1 / n + 1 / n0 + (mx - mx0) * (mx - mx0) / tot.sxx)), df
-    FROM g, tot WHERE f <> f0)
-SELECT term, round(estimate, 5) AS estimate, round(std_error, 6) AS std_error, df, round(estimate / std_error, 4) AS t_value FROM coefs"""
+    FROM g, tot WHERE f <> f0),
+-- two-sided tail of Student's t: Simpson's rule over the density from 0 to |t|
+tails AS (SELECT *, least(abs(estimate / std_error), 40) AS t FROM coefs),
+tail AS (SELECT term, 1 - 2 * t / 12000 * sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - (df + 1) / 2 * ln(1 + pow(t * i / 4000, 2) / df)) / sqrt(df * pi())) AS p
+  FROM tails, range(4001) AS r(i) GROUP BY term, t, df)
+SELECT term, round(estimate, 5) AS estimate, round(std_error, 6) AS std_error, df, round(estimate / std_error, 4) AS t_value,
+  round(greatest(p, 0), 6) + 0.0 AS p_value FROM coefs JOIN tail USING (term)"""
 
 
 def _coefficients(df: DataFrame) -> DataFrame:
     return df.select(
         "term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 6).alias("std_error"), "df",
-        F.round("t_value", 4).alias("t_value"),
+        F.round("t_value", 4).alias("t_value"), F.round("p_value", 6).alias("p_value"),
     )
 
 
@@ -138,24 +144,23 @@ def _coefficients(df: DataFrame) -> DataFrame:
     + _FACTOR.replace("{name}", "site"),
 )
 def temperature_trend(t: Tables) -> DataFrame:
-    """p-values come from a small vectorised helper and are tested on their own."""
     return _coefficients(environment.temperature_trend(t.trap))
 
 
 @query(
     "MOD-02 P26",
-    """WITH obs AS (SELECT (date - DATE '1970-01-01')::DOUBLE AS x, fork_length_mm AS y, gr_age AS f FROM sv_fish WHERE gr_age IN ('22', '33', '44')), """
+    """WITH obs AS (SELECT (date - DATE '1970-01-01')::DOUBLE AS x, fork_length_mm AS y, gr_age AS f FROM sv_wild WHERE gr_age IN ('22', '33', '44')), """
     + _FACTOR.replace("{name}", "gr_age"),
 )
 def length_by_age_model(t: Tables) -> DataFrame:
-    return _coefficients(report.length_by_age_model(t.fish))
+    return _coefficients(report.length_by_age_model(t.wild))
 
 
 @query(
     "MOD-04 P27",
     """WITH c AS (SELECT CAST(year(date) AS INT) AS year, dayofyear(date)::DOUBLE AS cx, count(*)::DOUBLE AS n, sum(k) AS sy FROM sv_wild WHERE k IS NOT NULL GROUP BY 1, 2),
     r AS (SELECT *, min(cx) OVER w AS lo, max(cx) OVER w AS hi, sum(n) OVER w AS total FROM c WINDOW w AS (PARTITION BY year)),
-    p AS (SELECT r.*, i, lo + (hi - lo) * i / 19.0::DOUBLE AS x, abs(cx - (lo + (hi - lo) * i / 19.0::DOUBLE)) AS d FROM r, range(20) AS g(i)),
+    p AS (SELECT r.*, i, lo + (hi - lo) * i / 79.0::DOUBLE AS x, abs(cx - (lo + (hi - lo) * i / 79.0::DOUBLE)) AS d FROM r, range(80) AS g(i)),
     s AS (SELECT *, sum(n) OVER (PARTITION BY year, i ORDER BY d RANGE UNBOUNDED PRECEDING) AS seen FROM p),
     h AS (SELECT *, min(CASE WHEN seen >= floor(total * 0.75 + 1e-5) THEN d END) OVER (PARTITION BY year, i) AS reach FROM s),
     w AS (SELECT *, pow(1 - pow(d / reach, 3), 3) AS w, cx - x AS c FROM h WHERE d < reach),
@@ -166,7 +171,7 @@ def length_by_age_model(t: Tables) -> DataFrame:
 )
 def condition_over_season(t: Tables) -> DataFrame:
     """Smoothed condition factor by day of year, one curve per year."""
-    return rounded(regression.local_smoother(t.wild, F.dayofyear("date"), "k", ["year"], grid=20))
+    return rounded(report.condition_over_season(t.wild))
 
 
 @query(

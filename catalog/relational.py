@@ -301,7 +301,9 @@ def wide_to_long(t: Tables) -> DataFrame:
     """SELECT species, CASE WHEN count(*) FILTER (WHERE site = 'barn') = 0 THEN 0
            ELSE sum(count) FILTER (WHERE site = 'barn') END AS barn,
          CASE WHEN count(*) FILTER (WHERE site = 'fence') = 0 THEN 0 ELSE sum(count) FILTER (WHERE site = 'fence') END AS fence,
-         0.0::DOUBLE AS hatchery
+         0.0::DOUBLE AS hatchery,
+         CASE WHEN count(*) FILTER (WHERE coalesce(site, '') NOT IN ('barn', 'fence', 'hatchery')) = 0 THEN 0
+           ELSE sum(count) FILTER (WHERE coalesce(site, '') NOT IN ('barn', 'fence', 'hatchery')) END AS other
        FROM sv_fish GROUP BY 1""",
 )
 def long_to_wide(t: Tables) -> DataFrame:
@@ -344,5 +346,5 @@ def join_then_missing(t: Tables) -> DataFrame:
     """Fish without a reading, or whose reading has no code: not the same as an anti join."""
     from tallyweir.plans.report import age_records, fish_without_age_code
 
-    ages = age_records(t.ages, range(1995, 2002)).where(F.col("scale_number").isNotNull())
+    ages = age_records(t.ages).where(F.col("scale_number").isNotNull())
     return fish_without_age_code(t.fish.select("row_label", "scale_number", "year"), ages)

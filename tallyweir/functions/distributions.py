@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Degrees of freedom from which Student's t is a corrected normal.
+NORMAL_FROM = 1e6
+
 
 def chi_square_tail(x: float, df: float) -> float:
     """P(X >= x) for a chi-square variable: upper incomplete gamma ratio."""
@@ -44,14 +47,16 @@ def _continued_fraction(numerator, denominator) -> float:
         c = c if c else tiny
         h *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    return math.nan  # not converged
 
 
 def student_two_sided(t: float, df: float) -> float:
     """P(|T| >= |t|) for Student's t."""
     if math.isnan(t) or not (df > 0):
         return float("nan")
+    if df > NORMAL_FROM:  # log-gamma differences lose their digits; this is exact to the order of 1 / df ** 2
+        return math.erfc(abs(t) * (1.0 - 0.25 / df) / math.sqrt(1.0 + t * t / (2.0 * df)) / math.sqrt(2.0))
     x = df / (df + t * t)
     return _beta_ratio(df / 2.0, 0.5, x)
 

@@ -35,11 +35,17 @@ def retention_rates(
 
 
 def apply_overrides(
-    rates: DataFrame, overrides: DataFrame, rate: str = "retention", code: str = "tag_code", week: str = "iso_week"
+    rates: DataFrame, overrides: DataFrame, rate: str = "retention", code: str = "tag_code", week: str = "iso_week",
+    order: str | None = None,
 ) -> DataFrame:
-    """Replace rates by exception. An override without a code holds for its whole week and wins."""
-    by_week = overrides.where(F.col(code).isNull()).select(week, F.col("rate").alias("_week_rate"))
-    by_code = overrides.where(F.col(code).isNotNull()).select(code, week, F.col("rate").alias("_code_rate"))
+    """Replace rates by exception. An override without a code holds for its whole week and wins.
+
+    Of several overrides for one key the last one holds: by ``order``, or as listed in a typed-in table.
+    """
+    listed = overrides.withColumn("_order", F.col(order) if order else F.monotonically_increasing_id())
+    last = F.max_by("rate", "_order")
+    by_week = listed.where(F.col(code).isNull()).groupBy(week).agg(last.alias("_week_rate"))
+    by_code = listed.where(F.col(code).isNotNull()).groupBy(code, week).agg(last.alias("_code_rate"))
     out = left_join(rates, by_code, [code, week], null_safe=False)
     out = left_join(out, by_week, [week], null_safe=False)
     fixed = F.coalesce("_week_rate", "_code_rate", rate)

@@ -51,11 +51,13 @@ def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     return cells.withColumn("row_total", F.sum("n").over(by_row)).withColumn("share", ratio("n", "row_total"))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Type, known count, distinct count, smallest and largest value of every column, in one pass.
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Type, known count, distinct count, smallest and largest value of every column.
 
-    The distinct counts are approximate; everything else is exact.
+    One pass; the distinct counts are approximate (``n_distinct_approx``), everything else is exact. With
+    ``exact`` they are exact too (``n_distinct``), for a shuffle of the distinct values of every column.
     """
+    distinct = (F.count_distinct, "n_distinct") if exact else (F.approx_count_distinct, "n_distinct_approx")
     measures = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -65,7 +67,7 @@ def profile(df: DataFrame) -> DataFrame:
                 F.lit(f.dataType.simpleString()).alias("data_type"),
                 F.count(c).alias("n_known"),
                 (n_rows() - F.count(c)).alias("n_missing"),
-                F.approx_count_distinct(c).alias("n_distinct_approx"),
+                distinct[0](c).alias(distinct[1]),
                 F.min(c).cast("string").alias("smallest"),
                 F.max(c).cast("string").alias("largest"),
             )

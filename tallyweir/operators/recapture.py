@@ -204,8 +204,13 @@ def pool_matrix(
 
 
 def rank_models(report: DataFrame, keys: Sequence[str] = (), criterion: str = "aicc") -> DataFrame:
-    """Difference to the best criterion value among the models of each season, and the rank."""
+    """Difference to the best criterion value among the models of each season, and the rank.
+
+    A model without a criterion (no fit, or one that has not converged) has no rank.
+    """
     by = list(keys) or [F.lit(0)]
     delta = round_even(F.col(criterion) - F.min(criterion).over(Window.partitionBy(*by)), 2)
     order = Window.partitionBy(*by).orderBy(F.col(f"delta_{criterion}").asc_nulls_last(), "model_id")
-    return report.withColumn(f"delta_{criterion}", delta).withColumn("rank", F.row_number().over(order))
+    return report.withColumn(f"delta_{criterion}", delta).withColumn(
+        "rank", F.when(F.col(criterion).isNotNull(), F.row_number().over(order))
+    )

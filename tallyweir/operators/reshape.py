@@ -22,11 +22,16 @@ def to_wide(
     names: Sequence[Any],
     value: Column,
     fill: float | None = 0.0,
+    other: str | None = "other",
 ) -> DataFrame:
-    """One column per listed name. Only cells without any row are filled.
+    """One column per listed name, and one for the rows under any other name or none. Only cells without any row are filled.
 
-    The names are given, so no extra pass looks for them.
+    The names are given, so no extra pass looks for them. ``other=None`` leaves rows with other names out.
     """
+    if other is not None:
+        listed = F.col(names_from).isin(list(names))
+        df = df.withColumn(names_from, F.when(listed, F.col(names_from).cast("string")).otherwise(F.lit(other)))
+        names = [*map(str, names), other]
     cells = (value.alias("v"), F.count(F.lit(1)).alias("n"))
     wide = df.groupBy(*keys).pivot(names_from, list(names)).agg(*cells)
     out = list(keys)

@@ -21,7 +21,7 @@ from tallyweir.functions.distributions import chi_square_tail
 from tallyweir.operators.joins import left_join
 
 FIT_COLUMNS = (
-    "n_rows INT, n_cols INT, n_pools INT, log_lik DOUBLE, np INT, aicc DOUBLE, gof_chisq DOUBLE, gof_df INT, "
+    "n_rows INT, n_cols INT, n_pools INT, merged_weeks INT, log_lik DOUBLE, np INT, aicc DOUBLE, gof_chisq DOUBLE, gof_df INT, "
     "gof_p DOUBLE, n_hat DOUBLE, n_hat_se DOUBLE, boundary BOOLEAN, converged BOOLEAN, overdrawn_rows INT, "
     "pools ARRAY<STRING>, capture_p ARRAY<DOUBLE>"
 )
@@ -131,7 +131,8 @@ def _poisson_log(k, mean):
 
 def _pool_empty_columns(marked, u):
     """Join each week without marked recoveries to the last week before it that has some (or the
-    first after it): its unmarked catch says nothing about a capture rate of its own."""
+    first after it): its unmarked catch says nothing about a capture rate of its own. The fit reports
+    how many weeks were joined (``merged_weeks``)."""
     filled = np.flatnonzero(marked.sum(axis=0) > 0)
     if len(filled) == 0:
         return marked, u
@@ -160,6 +161,7 @@ def fit_season(cells: pd.DataFrame) -> dict:
             marked[row_at[row], col_at[column]] += n
         else:
             never[row_at[row]] += n
+    n_weeks = len(u)
     marked, u = _pool_empty_columns(marked, u)
     labels = sorted(set(pool_of.values()))
     member = np.array([[pool_of[i] == g for i in range(len(rows))] for g in labels], dtype=float)
@@ -167,13 +169,16 @@ def fit_season(cells: pd.DataFrame) -> dict:
     released = member @ (marked.sum(axis=1) + never)
     usable = bool((m.sum(axis=1) > 0).all()) and u.sum() > 0 and len(rows) > 0
     out = dict(
-        n_rows=len(rows), n_cols=len(u), n_pools=len(labels), pools=[str(g) for g in labels],
+        n_rows=len(rows), n_cols=len(u), n_pools=len(labels), merged_weeks=n_weeks - len(u), pools=[str(g) for g in labels],
         log_lik=None, np=None, aicc=None, gof_chisq=None, gof_df=None, gof_p=None, n_hat=None, n_hat_se=None,
         boundary=None, converged=False, overdrawn_rows=int((never < 0).sum()), capture_p=None,
     )
     if not usable:
         return out
     beta, theta, converged = fit_pools(m, u)
+    out.update(np=int((marked > 0).sum() + len(rows) + len(labels)), gof_df=int((u > 0).sum() - len(labels)))
+    if not converged:  # no estimate and no criterion from a fit that has not arrived
+        return out
     boundary = bool((beta < 1e-6).any())
     n_hat = float(((1.0 + beta) * released).sum())
     variance = math.nan
@@ -187,18 +192,17 @@ def fit_season(cells: pd.DataFrame) -> dict:
     fitted = marked * own
     mu = (beta[:, None] * theta).sum(axis=0)
     log_lik = _poisson_log(marked, fitted) + _poisson_log(np.maximum(never, 0.0), never) + _poisson_log(u, mu)
-    params = int((marked > 0).sum() + len(rows) + len(labels))
+    params, df = out["np"], out["gof_df"]
     n_all = float(marked.sum() + never.sum() + u.sum())
     chisq = float(
         np.divide((marked - fitted) ** 2, fitted, out=np.zeros_like(fitted), where=fitted > 0).sum()
         + np.divide((u - mu) ** 2, mu, out=np.zeros_like(mu), where=mu > 0).sum()
     )
-    df = int((u > 0).sum() - len(labels))
     spare = n_all - params - 1
     out.update(
-        log_lik=float(log_lik), np=params,
+        log_lik=float(log_lik),
         aicc=float(-2 * log_lik + 2 * params + 2 * params * (params + 1) / spare) if spare > 0 else None,
-        gof_chisq=chisq, gof_df=df, gof_p=chi_square_tail(chisq, df) if df > 0 else None,
+        gof_chisq=chisq, gof_p=chi_square_tail(chisq, df) if df > 0 else None,
         n_hat=n_hat, n_hat_se=math.sqrt(variance) if variance > 0 else None,
         boundary=boundary, converged=converged, capture_p=[float(p) for p in 1.0 / (1.0 + beta)],
     )

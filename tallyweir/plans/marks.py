@@ -118,18 +118,28 @@ def unreadable_marks(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusi
     return rows.agg(F.coalesce(F.sum("none"), F.lit(0.0)).alias("unreadable"))
 
 
-def daily_marks(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True, site: str = "site") -> DataFrame:
+def _from_week(fish: DataFrame, first_week: int | None) -> DataFrame:
+    return fish if first_week is None else fish.where(F.col("iso_week") >= first_week)
+
+
+def daily_marks(
+    fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True, site: str = "site",
+    first_week: int | None = None, keys: Sequence[str] = ("iso_year",), upstream: str = UPSTREAM, downstream: str = DOWNSTREAM,
+) -> DataFrame:
     """Everything the weekly tables need, per day, from one pass over the observations.
 
+    ``first_week`` leaves out the weeks before it; ``keys`` may name more than the year (stocks, site pairs).
+
     ``a_*``: marks applied upstream; ``r_*``: marks recovered downstream, unreadable ones
     reallocated; ``unmarked``: unmarked catch downstream; ``n_*``: rows behind each of them.
     """
-    applied = (F.col(site) == UPSTREAM) & in_set("tag_status", ["A"])
-    below = F.col("site") == DOWNSTREAM
+    applied = (F.col(site) == upstream) & in_set("tag_status", ["A"])
+    below = F.col("site") == downstream
     returned = below & in_set("tag_status", ["R"])
     measures = [sum_where(applied & in_set("a_caudalclip", [m]), "count").alias(f"a_{m}") for m in MARKS]
     measures += [sum_where(returned & in_set("r_caudalclip", [m]), "count").alias(f"r_{m}") for m in MARKS]
-    daily = fish.groupBy(*DAY).agg(
+    more = [k for k in keys if k not in DAY]
+    daily = _from_week(fish, first_week).groupBy(*more, *DAY).agg(
         *measures,
         sum_where(below & F.col("r_adclip").isNull(), "count").alias("unmarked"),
         F.count_if(applied).alias("n_applied"),
@@ -139,12 +149,14 @@ def daily_marks(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: b
     return reallocate_unknown(daily, "r_top", "r_bottom", "r_none", "iso_week", start_week, inclusive)
 
 
-def weekly_release_recapture(fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True) -> DataFrame:
+def weekly_release_recapture(
+    fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True, first_week: int | None = FIRST_MARK_WEEK
+) -> DataFrame:
     """Marks applied per week beside marks recovered in the same week (NULL when none came back)."""
     sums = [F.sum(c).alias(c) for c in ("a_top", "a_bottom", "r_top", "r_bottom", "n_applied", "n_returned")]
-    weekly = daily_marks(fish, start_week, inclusive).groupBy("iso_year", "iso_week").agg(*sums)
+    weekly = daily_marks(fish, start_week, inclusive, first_week=first_week).groupBy("iso_year", "iso_week").agg(*sums)
     came_back = F.col("n_returned") > 0
-    return weekly.where((F.col("iso_week") >= FIRST_MARK_WEEK) & (F.col("n_applied") > 0)).select(
+    return weekly.where(F.col("n_applied") > 0).select(
         "iso_year", "iso_week", "a_top", "a_bottom",
         *[F.when(came_back, F.col(c)).alias(c) for c in ("r_top", "r_bottom")],
     )
@@ -154,38 +166,41 @@ def weekly_release_columns(fish: DataFrame, weeks: Sequence[int]) -> DataFrame:
     """Marks applied with one column per release week."""
     rows = fish.where((F.col("site") == UPSTREAM) & in_set("tag_status", ["A"]) & F.col("iso_week").isin(list(weeks)))
     return to_wide(
-        rows, ["iso_year"], "iso_week", weeks, F.coalesce(F.sum("count"), F.lit(0.0)), 0.0
+        rows, ["iso_year"], "iso_week", weeks, F.coalesce(F.sum("count"), F.lit(0.0)), 0.0, other=None
     ).withColumnsRenamed({str(w): f"week_{w}" for w in weeks})
 
 
-def weekly_unmarked(fish: DataFrame) -> DataFrame:
+def weekly_unmarked(fish: DataFrame, first_week: int | None = None, downstream: str = DOWNSTREAM) -> DataFrame:
     """Animals without an earlier mark at the downstream site."""
-    rows = fish.where(F.col("site") == DOWNSTREAM)
+    rows = _from_week(fish, first_week).where(F.col("site") == downstream)
     return rows.groupBy("iso_year", "iso_week", "week").agg(
         sum_where(F.col("r_adclip").isNull(), "count").alias("n")
     )
 
 
 def mark_matrix(
-    fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True, site: str = "site"
+    fish: DataFrame, start_week: int = FIRST_MARK_WEEK, inclusive: bool = True, site: str = "site",
+    first_week: int | None = None, keys: Sequence[str] = ("iso_year",), upstream: str = UPSTREAM, downstream: str = DOWNSTREAM,
 ) -> DataFrame:
-    """Release week by recovery week per season, from the observations.
+    """Release week by recovery week per season (and any further ``keys``), from the observations.
+
+    Weeks before ``first_week``, in which batch marks did not alternate yet, are no part of the season.
 
     One pass reduces the observations to weekly totals (a few hundred rows per season and site
     pair), which are written once; the matrix is then built from those rows.
     """
     weekly = materialise(
-        daily_marks(fish, start_week, inclusive, site)
-        .groupBy("iso_year", week_start("date").alias("week"))
+        daily_marks(fish, start_week, inclusive, site, first_week, keys, upstream, downstream)
+        .groupBy(*keys, week_start("date").alias("week"))
         .agg(*[F.sum(c).alias(c) for c in ("a_top", "a_bottom", "r_top", "r_bottom", "unmarked", "n_below")])
     )
 
     def by_mark(prefix: str) -> DataFrame:
-        named = weekly.select("iso_year", "week", *[F.col(f"{prefix}_{m}").alias(m) for m in BATCH_MARKS])
-        return to_long(named, ["iso_year", "week"], BATCH_MARKS, "mark", "n")
+        named = weekly.select(*keys, "week", *[F.col(f"{prefix}_{m}").alias(m) for m in BATCH_MARKS])
+        return to_long(named, [*keys, "week"], BATCH_MARKS, "mark", "n")
 
-    unmarked = weekly.where(F.col("n_below") > 0).select("iso_year", "week", F.col("unmarked").alias("n"))
-    return release_recovery_matrix(by_mark("a"), by_mark("r"), unmarked, ["iso_year"])
+    unmarked = weekly.where(F.col("n_below") > 0).select(*keys, "week", F.col("unmarked").alias("n"))
+    return release_recovery_matrix(by_mark("a"), by_mark("r"), unmarked, keys)
 
 
 def marked_against_recaptured(fish: DataFrame, species: str = "co-w", date: str = "overlay_date") -> DataFrame:

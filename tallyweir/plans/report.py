@@ -68,7 +68,7 @@ def species_totals(fish: DataFrame, excluded: str = "co-f") -> DataFrame:
 
 
 def species_by_site(fish: DataFrame, sites: Sequence[str] = ("barn", "fence")) -> DataFrame:
-    """One column per site, largest downstream catch first."""
+    """One column per site and one for any other, largest downstream catch first."""
     named = fish.withColumn("species", recode("species", CLIPPED_SPECIES_NAMES))
     wide = to_wide(named, ["species"], "site", sites, sum_known("count"))
     return sort_missing_last(wide, sites[-1], descending=True)
@@ -194,10 +194,11 @@ def size_mismatch(fish: DataFrame, species: str = "co-w") -> DataFrame:
     return checks.label_mismatch(rows, "size_cwt", "size_computed")
 
 
-def age_records(ages: DataFrame, years: Sequence[int], stage: str = JUVENILE) -> DataFrame:
-    """Age readings of a year and life stage with a numeric scale number."""
+def age_records(ages: DataFrame, years: Sequence[int] | None = None, stage: str = JUVENILE) -> DataFrame:
+    """Age readings of some years (all if none are named) and a life stage, with a numeric scale number."""
     dated = ages.withColumn("year", F.year("start_date"))
-    rows = keep_in(keep_in(dated, "year", years), "life_stage", [stage])
+    chosen = dated if years is None else keep_in(dated, "year", years)
+    rows = keep_in(chosen, "life_stage", [stage])
     return rows.withColumn("scale_number", F.col("address").try_cast("bigint"))
 
 

@@ -9,7 +9,7 @@ from catalog import REGISTRY
 from catalog.tables import Tables
 from tests.oracle import compare, connect, plan
 
-FITS = {"one_pool_fit", "candidate_stratified_fits", "ranked_models"}
+FITS = {"candidate_fit_shapes", "one_pool_fit", "candidate_stratified_fits", "ranked_models"}
 
 SIZES = dict(SRC=9, SNK=2, PRJ=11, FLT=9, JOI=10, AGG=23, WIN=6, SRT=6, SET=3, RSH=4, SCL=20, DOM=33, MOD=10)
 ITEMS = [f"{kind}-{i:02d}" for kind, n in SIZES.items() for i in range(1, n + 1)] + [f"P{i:02d}" for i in range(1, 54)]
@@ -42,7 +42,7 @@ def test_every_inventory_item_is_covered():
 
 def test_contract(spark, folder):
     names = set(contract.queries())
-    assert names == set(REGISTRY)
+    assert set(REGISTRY) <= names and {n for n in names - set(REGISTRY) if not n.startswith("op")} <= {"pipeline"}
     assert set(contract.oracle_sql()) <= names
-    assert {n for n in names if n not in contract.oracle_sql()} == {"candidate_stratified_fits", "ranked_models"}
+    assert {n for n in REGISTRY if n not in contract.oracle_sql()} == {"candidate_stratified_fits", "ranked_models"}
     assert contract.entry(spark).count() > 0
