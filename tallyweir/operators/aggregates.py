@@ -12,6 +12,8 @@ from tallyweir.operators.joins import small_side
 
 # Resolution of the first pass of the exact quantiles: bins per doubling of the value.
 BINS_PER_OCTAVE = 4096
+# Rows of a bin up to which its values are ordered as they are; cells into which a larger one is cut.
+LARGEST_BIN, LINEAR_CELLS = 100_000, 4_096
 
 
 def first_by(x: str, order: str | Column) -> Column:
@@ -76,10 +78,43 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def _octave_bin(v: Column, per_octave: int) -> Column:
-    size = F.log2(F.abs(v))
-    steps = F.floor(size * per_octave)
-    offset = F.lit(1_100 * per_octave)  # beyond the exponent range of a double, so bins never cross zero
-    return F.when(v > 0, steps + offset).when(v < 0, -(steps + offset) - 1).otherwise(F.lit(0)).cast("long")
+    offset = 1_100 * per_octave  # beyond the exponent range of a double, so bins never cross zero
+    steps = F.floor(F.log2(F.abs(v)) * per_octave)
+    endless = F.lit(3 * offset)
+    return (
+        F.when(v == float("inf"), endless).when(v == float("-inf"), -endless)
+        .when(v > 0, steps + offset).when(v < 0, -(steps + offset) - 1).otherwise(F.lit(0)).cast("long")
+    )
+
+
+def _same(left: Sequence[str], right: str) -> Column:
+    match = F.lit(True)
+    for j, k in enumerate(left):
+        match = match & F.col(k).eqNullSafe(F.col(f"{right}{j}"))
+    return match
+
+
+def _holding(running: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Of cells with their running counts, those that hold the order statistic ``_k`` or the one above it."""
+    last = F.least(F.col("_k") + 1, F.col("n") - 1)
+    held = running.where((F.col("_to") > F.col("_k")) & (F.col("_to") - F.col("_n") <= last))
+    return held.select(*columns, "_i", "_f", "_k", "n", (F.col("_to") - F.col("_n")).alias("_from"), "_n", "_lo", "_hi")
+
+
+def _refined(binned: DataFrame, spots: DataFrame, on: Sequence[str], cells: int = LINEAR_CELLS) -> DataFrame:
+    """Cut the range of every spot into equal cells and keep the cells that hold its order statistics."""
+    ranges = [*on, "_lo", "_hi"]
+    wide = spots.select(*ranges, "_from").distinct().withColumnsRenamed({k: f"_s{j}" for j, k in enumerate(on)})
+    rows = binned.join(F.broadcast(wide), _same(on, "_s")).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    at = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells)
+    counts = rows.groupBy(*ranges, "_from", F.least(at, F.lit(cells - 1)).alias("_cell")).agg(
+        n_rows().alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+    )
+    up_to = Window.partitionBy(*ranges).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counts.withColumn("_to", F.col("_from") + F.sum("_n").over(up_to)).drop("_from")
+    targets = spots.select(*ranges, "_i", "_f", "_k", "n").withColumnsRenamed({k: f"_t{j}" for j, k in enumerate(ranges)})
+    cut = running.join(F.broadcast(targets), _same(ranges, "_t")).drop("_lo", "_hi")
+    return _holding(cut.withColumnsRenamed({"_least": "_lo", "_most": "_hi"}), on)
 
 
 def exact_quantiles(
@@ -88,19 +123,23 @@ def exact_quantiles(
     probabilities: Sequence[float],
     keys: Sequence[str] = (),
     per_octave: int = BINS_PER_OCTAVE,
+    largest_bin: int = LARGEST_BIN,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles without bringing a group together.
 
-    Pass one counts rows in fine value bins (combined in the map tasks) and finds, from running
-    counts, the bins that hold the two order statistics of each probability. Pass two reads only
-    the rows of those bins, counts equal values, and picks the order statistics. Returns the keys,
-    ``n`` and one column ``q<i>`` per probability.
+    Pass one counts rows in value bins (combined in the map tasks) and finds, from running counts, the bins
+    that hold the two order statistics of each probability. A bin that holds more than ``largest_bin`` rows,
+    because the values are large against their spread, is cut into equal cells between its least and largest
+    value, again and again, until what is left is small or a single value. The last pass reads only the
+    rows of those ranges, counts equal values, and picks the order statistics. Infinite values have bins of
+    their own. Returns the keys, ``n`` and one column ``q<i>`` per probability.
     """
     keys = list(keys)
+    on = [*keys, "_bin"]
     v = F.col(value).cast("double")
     rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     binned = rows.withColumn("_bin", _octave_bin(F.col("_v"), per_octave))
-    counts = binned.groupBy(*keys, "_bin").agg(n_rows().alias("_n"))
+    counts = binned.groupBy(*on).agg(n_rows().alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     group = Window.partitionBy(*(keys or [F.lit(0)]))
     up_to = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = counts.withColumns({"_to": F.sum("_n").over(up_to), "n": F.sum("_n").over(group)})
@@ -108,33 +147,32 @@ def exact_quantiles(
     wanted = F.explode(
         F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
     )
-    spots = (
-        running.select("*", wanted.alias("_w"))
-        .withColumn("_h", (F.col("n") - 1) * F.col("_w.p"))
-        .withColumn("_k", F.floor("_h"))
-        .withColumn("_from", F.col("_to") - F.col("_n"))
-        .where((F.col("_to") > F.col("_k")) & (F.col("_from") <= F.least(F.col("_k") + 1, F.col("n") - 1)))
-        .select(*keys, "_bin", F.col("_w.i").alias("_i"), (F.col("_h") - F.col("_k")).alias("_f"), "_k", "_from", "n")
+    place = (F.col("n") - 1) * F.col("_w.p")
+    spots = small_side(
+        _holding(
+            running.select("*", wanted.alias("_w"))
+            .withColumns({"_i": F.col("_w.i"), "_k": F.floor(place), "_f": place - F.floor(place)}),
+            on,
+        )
     )
-    on = [*keys, "_bin"]
-    spots = small_side(spots.withColumnsRenamed({k: f"_s{j}" for j, k in enumerate(on)}))
-    match = F.lit(True)
-    for j, k in enumerate(on):
-        match = match & F.col(k).eqNullSafe(F.col(f"_s{j}"))
-    # equal values meet before the running count, so a window row is a distinct value of one bin
+    large = (F.col("_n") > largest_bin) & (F.col("_lo") < F.col("_hi"))
+    while not spots.where(large).isEmpty():
+        spots = small_side(spots.where(~large).unionByName(_refined(binned, spots.where(large), on)))
+    # equal values meet before the running count, so a window row is a distinct value of one range
+    named = spots.withColumnsRenamed({k: f"_s{j}" for j, k in enumerate(on)})
     values = (
-        binned.join(spots, match)
-        .groupBy(*keys, "_i", "_f", "_k", "n", "_bin", "_from", "_v").agg(n_rows().alias("_c"))
+        binned.join(named, _same(on, "_s")).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*keys, "_i", "_f", "_k", "n", "_bin", "_lo", "_from", "_v").agg(n_rows().alias("_c"))
     )
-    inside = Window.partitionBy(*keys, "_i", "_bin").orderBy("_v")
+    inside = Window.partitionBy(*keys, "_i", "_bin", "_lo").orderBy("_v")
     to = F.col("_from") + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = values.withColumn("_to", to).withColumn("_start", F.col("_to") - F.col("_c"))
     above = F.least(F.col("_k") + 1, F.col("n") - 1)
     low = F.max(F.when((F.col("_start") <= F.col("_k")) & (F.col("_k") < F.col("_to")), F.col("_v")))
     high = F.max(F.when((F.col("_start") <= above) & (above < F.col("_to")), F.col("_v")))
-    picked = (
-        ranked.groupBy(*keys, "n", "_i").agg(low.alias("_low"), high.alias("_high"), F.max("_f").alias("_f"))
-        .withColumn("_q", F.col("_low") + F.col("_f") * (F.col("_high") - F.col("_low")))
+    between = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(
+        F.col("_low") + F.when(F.col("_f") > 0, F.col("_f") * (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))
     )
-    named = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probabilities))]
-    return picked.groupBy(*keys, "n").agg(*named)
+    picked = ranked.groupBy(*keys, "n", "_i").agg(low.alias("_low"), high.alias("_high"), F.max("_f").alias("_f")).withColumn("_q", between)
+    columns = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probabilities))]
+    return picked.groupBy(*keys, "n").agg(*columns)
