@@ -200,6 +200,23 @@ def scale_bins(t: Tables) -> DataFrame:
     return fence.scale_bins(fence.scale_subsample(t.adult, (3, 5, 8)))
 
 
+_SCALE_LENGTHS = """WITH o AS (SELECT *, CASE WHEN scale_book IN (3, 5, 8) THEN 'x' END AS no_good FROM sv_adult
+    WHERE scale_book IS NOT NULL AND fork_length_mm IS NOT NULL),
+  r AS (SELECT (max(fork_length_mm) - min(fork_length_mm)) / 29.0::DOUBLE AS w FROM o)
+  SELECT {keys}, CAST(ceil(fork_length_mm / w - 0.5::DOUBLE) AS BIGINT) AS bin_no, count(*) AS n,
+    round(ceil(fork_length_mm / w - 0.5::DOUBLE) * w, 6) AS bin FROM o, r GROUP BY ALL"""
+
+
+@query("P15 MOD-06", _SCALE_LENGTHS.format(keys="broodstock"))
+def scale_lengths_by_broodstock(t: Tables) -> DataFrame:
+    return rounded(fence.scale_lengths(fence.scale_subsample(t.adult, (3, 5, 8)), ["broodstock"]))
+
+
+@query("P15 MOD-06", _SCALE_LENGTHS.format(keys="scale_book, no_good"))
+def scale_lengths_by_book(t: Tables) -> DataFrame:
+    return rounded(fence.scale_lengths(fence.scale_subsample(t.adult, (3, 5, 8)), ["scale_book", "no_good"]))
+
+
 # ---- report tables ----------------------------------------------------------------------
 
 _NAMED = """named AS (SELECT * REPLACE (CASE species WHEN 'co-w' THEN 'Coho (wild)' WHEN 'co-a' THEN 'Coho (hatchery)'
@@ -257,6 +274,12 @@ def mortality_table(t: Tables) -> DataFrame:
     return report.mortality(t.fish)
 
 
+@query("DOM-23 P52", f"{_MORTALITY} SELECT * FROM m UNION ALL {_HATCHERY}".replace("FROM named WHERE species <> 'co-f'", "FROM named"))
+def mortality_of_all_species(t: Tables) -> DataFrame:
+    """No species left out, unnamed animals included."""
+    return report.mortality(t.fish, excluded=None)
+
+
 @query(
     "DOM-23 P52 SNK-02",
     f"""{_MORTALITY}, a AS (SELECT * FROM m WHERE species <> 'Coho (hatchery)' UNION ALL {_HATCHERY})

@@ -424,6 +424,53 @@ def pooled_matrix(t: Tables) -> DataFrame:
     return rounded(recapture.pool_matrix(matrix, pools.select("iso_year", "stratum", "pool"), keys=keys))
 
 
+def _shared_pools(strata: str, shares: dict[str, float], suffix: str) -> str:
+    """CTEs that pool strata (iso_year, stratum, measures) by shares of the season's totals."""
+
+    def enough(window: str) -> str:
+        return " AND ".join(f"sum({m}) OVER {window} >= sum({m}) OVER t * {s}::DOUBLE" for m, s in shares.items())
+
+    alone = " AND ".join(f"{m} >= sum({m}) OVER t * {s}::DOUBLE" for m, s in shares.items())
+    return f"""strata{suffix} AS ({strata}),
+sums{suffix} AS (SELECT *, {enough('f')} AS top, {enough('b')} AS tail, {alone} AS alone FROM strata{suffix}
+  WINDOW f AS (PARTITION BY iso_year ORDER BY stratum ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY iso_year),
+    b AS (PARTITION BY iso_year ORDER BY stratum DESC ROWS UNBOUNDED PRECEDING)),
+ends{suffix} AS (SELECT iso_year, coalesce(min(stratum) FILTER (WHERE top), max(stratum)) AS head_end,
+    coalesce(max(stratum) FILTER (WHERE tail), min(stratum)) AS tail_start FROM sums{suffix} GROUP BY 1),
+opened{suffix} AS (SELECT s.*, sum(CASE WHEN stratum > head_end AND stratum <= tail_start AND (alone OR stratum = tail_start) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY s.iso_year ORDER BY stratum ROWS UNBOUNDED PRECEDING) AS no FROM sums{suffix} s JOIN ends{suffix} USING (iso_year)),
+pools{suffix} AS (SELECT iso_year, stratum, min(stratum) OVER (PARTITION BY iso_year, no) AS pool FROM opened{suffix})"""
+
+
+_ROW_STRATA = """SELECT iso_year, release_week AS stratum, sum(n) AS released, coalesce(sum(n) FILTER (WHERE kind = 'recovered'), 0) AS recaps
+  FROM matrix WHERE kind IN ('recovered', 'never') GROUP BY 1, 2"""
+_COLUMN_STRATA = "SELECT iso_year, recover_week AS stratum, sum(n) AS inspected FROM matrix WHERE kind IN ('recovered', 'unmarked') GROUP BY 1, 2"
+_SHARED = f"""{_MATRIX}, {_shared_pools(_ROW_STRATA, estimates.ROW_SHARES, '_r')}, {_shared_pools(_COLUMN_STRATA, estimates.COLUMN_SHARES, '_c')}"""
+
+
+@query("DOM-13 P36", f"{_SHARED} SELECT * FROM pools_r")
+def pools_by_share(t: Tables) -> DataFrame:
+    strata = recapture.stratum_totals(marks.mark_matrix(t.wild), ["iso_year"])
+    return estimates.pools_by_share(strata, estimates.ROW_SHARES).select("iso_year", "stratum", "pool")
+
+
+@query(
+    "DOM-13",
+    f"""{_SHARED} SELECT m.iso_year, coalesce(r.pool, m.release_week) AS release_week, coalesce(c.pool, m.recover_week) AS recover_week, m.kind,
+      round(sum(m.n), 6) AS n, bool_or(m.ambiguous) AS ambiguous
+    FROM matrix m LEFT JOIN pools_r r ON m.iso_year = r.iso_year AND m.release_week = r.stratum
+      LEFT JOIN pools_c c ON m.iso_year = c.iso_year AND m.recover_week = c.stratum GROUP BY 1, 2, 3, 4""",
+)
+def matrix_pooled_both_ways(t: Tables) -> DataFrame:
+    """Rows and columns pooled physically."""
+    keys = ["iso_year"]
+    matrix = materialise(marks.mark_matrix(t.wild))
+    rows = estimates.pools_by_share(recapture.stratum_totals(matrix, keys), estimates.ROW_SHARES)
+    columns = estimates.pools_by_share(recapture.inspected_totals(matrix, keys), estimates.COLUMN_SHARES)
+    names = ["iso_year", "stratum", "pool"]
+    return rounded(recapture.pool_matrix(matrix, rows.select(*names), columns.select(*names), keys))
+
+
 @query(
     "DOM-14 P36",
     f"""{_MATRIX} SELECT iso_year, 'one pool' AS model_id, round(sum(n) FILTER (WHERE kind IN ('recovered', 'never'))
@@ -515,6 +562,19 @@ def reduced_effort_abundance(t: Tables) -> DataFrame:
     return _rounded_estimates(estimates.reduced_effort_abundance(t.fish, t.releases, days, seasons))
 
 
+@query(
+    "MOD-05 P43",
+    f"""SELECT year, species, ceil((CAST(DATE '2024-01-01' + CAST(dayofyear(date) - 1 AS INT) AS DATE) - DATE '1970-01-01') / 5.0::DOUBLE - 0.5::DOUBLE) * 5 AS bin,
+      count(*) AS n FROM {_REDUCED.replace("SELECT f.species,", "SELECT f.species, f.date,")} GROUP BY 1, 2, 3""",
+)
+def reduced_effort_histogram(t: Tables) -> DataFrame:
+    from tallyweir.sources.readers import calendar
+
+    seasons = [("1996-05-04", "1996-07-15"), ("1997-05-03", "1997-06-25"), ("1998-05-02", "1998-07-06")]
+    days = calendar(t.spark, "1996-01-01", "1998-12-31")
+    return estimates.reduced_effort_histogram(t.overlaid, days, seasons)
+
+
 @query(
     "DOM-29 JOI-06 RSH-01 P41",
     """WITH o AS (SELECT *, CAST(DATE '2024-01-01' + CAST(dayofyear(date) - 1 AS INT) AS DATE) AS overlay_date FROM sv_fish),

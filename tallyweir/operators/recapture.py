@@ -147,7 +147,7 @@ def inspected_totals(matrix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def auto_pool(
-    strata: DataFrame, minimum: dict[str, float], keys: Sequence[str] = (), stratum: str = "stratum"
+    strata: DataFrame, minimum: dict[str, float | Column], keys: Sequence[str] = (), stratum: str = "stratum"
 ) -> DataFrame:
     """Pool label for each stratum (the first stratum of its pool).
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweir.functions.dates import in_windows, weekday_number
 from tallyweir.functions.missing import sum_known
 from tallyweir.functions.numbers import round_even
+from tallyweir.operators.histograms import fixed_width
 from tallyweir.operators.joins import calendar_fill, left_join
 from tallyweir.operators.recapture import auto_pool, rank_models, stratum_totals, with_abundance
 from tallyweir.operators.stratified import candidate_models, fit_models
@@ -22,15 +23,27 @@ MARKED_CODE, WILD_CODE = "co-a", "co-w"
 COUNTED_CODES = ("co-f", "co-w", "co-a")
 REDUCED_WEEKDAYS = (4, 5, 6, 7)
 SEASONS = (("2020-05-04", "2020-07-15"), ("2021-05-03", "2021-06-25"), ("2022-05-02", "2022-07-06"))
+#: Shares of a season's totals that a pool of rows or of columns must reach in :func:`pools_by_share`.
+ROW_SHARES, COLUMN_SHARES = {"released": 0.1, "recaps": 0.1}, {"inspected": 0.1}
 MODEL_NAMES = {"single": "Logical pooling to single row (LP)", "full": "Full weekly strata", "auto": "Auto (logical) pooling"}
 
 
+def pools_by_share(strata: DataFrame, shares: dict[str, float], keys: Sequence[str] = ("iso_year",)) -> DataFrame:
+    """Automatic pools whose minima are shares of the season's totals, so that they fit any size of study."""
+    whole = Window.partitionBy(*keys)
+    least = {f"_least_{m}": F.sum(m).over(whole) * share for m, share in shares.items()}
+    pooled = auto_pool(strata.withColumns(least), {m: F.col(f"_least_{m}") for m in shares}, keys)
+    return pooled.drop(*least)
+
+
 def candidate_fits(
-    matrix: DataFrame, keys: Sequence[str] = ("iso_year",), minimum: dict[str, float] = POOL_MINIMUM
+    matrix: DataFrame, keys: Sequence[str] = ("iso_year",), minimum: dict[str, float] = POOL_MINIMUM,
+    shares: dict[str, float] | None = None,
 ) -> DataFrame:
-    """One pool, every week its own pool, and automatic pooling, for every season."""
+    """One pool, every week its own pool, and automatic pooling (by totals, or by shares), for every season."""
     matrix = materialise(matrix)  # weekly cells; used by three models and by the pooling rule
-    pools = auto_pool(stratum_totals(matrix, keys), minimum, keys)
+    strata = stratum_totals(matrix, keys)
+    pools = auto_pool(strata, minimum, keys) if shares is None else pools_by_share(strata, shares, keys)
     models = {MODEL_NAMES["single"]: "single", MODEL_NAMES["full"]: "full", MODEL_NAMES["auto"]: pools}
     return fit_models(candidate_models(matrix, models, keys), keys)
 
@@ -92,6 +105,16 @@ def reduced_effort_abundance(
     return with_abundance(left_join(caught, releases, ["year"]), "cwt_released", "total_caught", "marked_caught")
 
 
+def reduced_effort_histogram(
+    fish: DataFrame, days: DataFrame, seasons: Sequence[tuple[str, str]] = SEASONS, weekdays: Sequence[int] = REDUCED_WEEKDAYS,
+    width: float = 5, date: str = "overlay_date",
+) -> DataFrame:
+    """Rows of the counted species on the chosen days per bin of the overlay date, by species and year."""
+    chosen = reduced_days(days, seasons, weekdays).select("date")
+    rows = fish.where(F.col("species").isin(list(COUNTED_CODES))).join(chosen, "date", "left_semi")
+    return fixed_width(rows.withColumn("year", F.year("date")), F.unix_date(date), width, ["year", "species"])
+
+
 def season_proportions(fish: DataFrame, year: str = "year") -> DataFrame:
     """Share of the season's wild and marked animals seen on each day."""
     daily = catch_by_origin_daily(fish, year)

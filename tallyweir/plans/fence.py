@@ -134,5 +134,10 @@ def scale_subsample(adults: DataFrame, rejected: Sequence[int] = UNREADABLE_BOOK
     return left_join(rows, table, ["scale_book"]).withColumn("length_bin", bin_floor("fork_length_mm", width))
 
 
+def scale_lengths(subsample: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Histogram of fork length in 30 bins over the common range, by ``keys`` (broodstock; book and rejection)."""
+    return histograms.fixed_count(subsample, "fork_length_mm", 30, keys)
+
+
 def scale_bins(subsample: DataFrame) -> DataFrame:
     return subsample.groupBy("length_bin", "no_good").agg(n_rows().alias("n"))

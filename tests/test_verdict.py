@@ -147,3 +147,19 @@ def test_cells_are_small_after_refinement(spark):
     spots = top.selectExpr("_bin", "0 _i", "0.5D _f", "_n div 2 _k", "_n n", "0L _from", "_n", "_lo", "_hi")
     cut = aggregates._refined(binned, spots, ["_bin"]).collect()
     assert 1 <= len(cut) <= 2 and max(r._n for r in cut) < 0.001 * 200_000
+
+
+def test_pooling_by_share_pools_and_models_differ(spark):
+    from catalog.tables import Tables
+    from tallyweir.plans import estimates
+
+    matrix = marks.mark_matrix(Tables(spark, "/root/testdata/sf0.01").wild)
+    strata = recapture.stratum_totals(matrix, ["iso_year"])
+    pools = estimates.pools_by_share(strata, estimates.ROW_SHARES)
+    counts = pools.groupBy("iso_year").agg(F.count_distinct("stratum").alias("strata"), F.count_distinct("pool").alias("pools")).collect()
+    assert counts and all(1 < r.pools < r.strata for r in counts)
+    fits = estimates.candidate_fits(matrix, shares=estimates.ROW_SHARES).collect()
+    by_model = {}
+    for r in fits:
+        by_model.setdefault(r.model_id, {})[r.iso_year] = r.n_pools
+    assert len({tuple(sorted(x.items())) for x in by_model.values()}) == len(by_model)
