@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweir.functions.numbers import level_rank
-from tallyweir.session import materialise
+from tallyweir.session import stored
 
 
 def with_row_id(
@@ -16,7 +16,7 @@ def with_row_id(
 ) -> DataFrame:
     """Number all rows 1..n in the given order without sorting them in one task.
 
-    Rows are range-partitioned and sorted, written once so that the numbering cannot change on a
+    Rows are range-partitioned and sorted, written once (as Parquet in the shared folder) so that the numbering cannot change on a
     retry, and numbered inside each partition; each partition then adds the sizes of those before
     it. Give enough columns to make the order unique: that also lets a hot value be split. ``partitions`` defaults to the
     session's number of shuffle partitions.
@@ -25,10 +25,11 @@ def with_row_id(
     order = [F.col(c).asc_nulls_last() for c in order_by]
     # monotonically_increasing_id is partition * 2^33 + position in the partition
     position = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    placed = materialise(
+    placed = stored(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .withColumns({"_part": F.spark_partition_id(), "_pos": position})
+        .withColumns({"_part": F.spark_partition_id(), "_pos": position}),
+        "row-ids",
     )
     # one row per partition, so both the window and the broadcast are bounded by their number
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

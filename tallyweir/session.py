@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,6 +40,13 @@ def build_session(app_name: str = "tallyweir", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def _temporary(prefix: str) -> str:
+    """A local folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the executors, once per Spark application.
 
@@ -46,7 +57,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_tallyweir_shipped", False):
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="tallyweir-code-"), "tallyweir.zip")
+    archive = os.path.join(_temporary("tallyweir-code-"), "tallyweir.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(package):
             for name in sorted(n for n in names if n.endswith(".py")):
@@ -66,7 +77,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="tallyweir-checkpoint-")
+        named = _temporary("tallyweir-checkpoint-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
@@ -75,3 +86,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder: columns that are not used are not read again."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

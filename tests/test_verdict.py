@@ -163,3 +163,19 @@ def test_pooling_by_share_pools_and_models_differ(spark):
     for r in fits:
         by_model.setdefault(r.model_id, {})[r.iso_year] = r.n_pools
     assert len({tuple(sorted(x.items())) for x in by_model.values()}) == len(by_model)
+
+
+def test_nothing_is_left_behind(tmp_path):
+    code = (
+        f"import sys; sys.path.insert(0, {REPO!r})\n"
+        "import __spark_entry__ as e\n"
+        "from tallyweir.session import build_session\n"
+        "s = build_session('x', 'local[2]', spark__ui__enabled='false', spark__sql__shuffle__partitions='2')\n"
+        "for name in ('row_ids', 'exact_quantiles_by_group'):\n"
+        "    assert e.queries()[name](s, '/root/testdata/sf0.001').count()\n"
+        "s.stop()\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("tallyweir")] == []
