@@ -9,9 +9,10 @@ so a candidate must occur T times in the inverted lists of the query's grams.
    The short lists are those of the rarest grams: two linked sets share a gram among the n - ceil(t n) + 1
    rarest of each. Lists with one document are dropped; grams of frequent buckets are never gathered in one
    task. The long lists are never built: documents are probed for their grams instead.
-3. Every document of a short list is compared with the smallest id of the list, which finds most links with
-   one candidate per document and list, however long the list. Lists whose documents are then still in
-   different components give the remaining candidates, pairs across components only.
+3. Every document of a short list is compared with one head of the list, which finds most links with one
+   candidate per document and list, however long the list. Lists whose documents are then still in different
+   components take other heads in turn, and at last give all remaining candidates, pairs across components
+   only. A pair must meet in a list at ranks that leave room for the overlap it needs.
 4. Candidates of one query are searched by DivideSkip in blocks of bounded size (``t_occurrence``): the
    short lists of the block are heap-merged, the long ones probed by binary search.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.links import components, stored
+from tallyweir.llm.links import components, forget, stored
 
 NGRAM = 5
 PERCENT = 75
@@ -43,6 +44,8 @@ BUCKETS = 1 << 20
 HELD_GRAMS = 1_500_000
 #: Candidates that are searched together.
 BLOCK = 256
+#: Turns with other heads, before documents of different components are compared with all they meet.
+EXTRA_HEADS = 1
 #: Rows of a pair or id table up to which it is broadcast (16 to 24 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -211,12 +214,13 @@ def few_rows(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _short_lists(texts: DataFrame, rarity: np.ndarray, percent: int, partitions: int) -> DataFrame:
-    """(gram, id, n): the inverted lists of the rare grams, without lists of one document."""
+    """(gram, id, n, rank): the inverted lists of the rare grams, without lists of one document; rank is the gram's
+    place in the document's own order from rare to frequent."""
     spark = texts.sparkSession
     table = spark.sparkContext.broadcast(rarity)
     mean = float(rarity.mean())
     often = mean + 8 * mean**0.5 + 64  # a bucket beyond that holds a frequent gram: its lists are long and not gathered
-    pack = np.dtype([("gram", "<u8"), ("id", "<i8"), ("n", "<i4")])
+    pack = np.dtype([("gram", "<u8"), ("id", "<i8"), ("n", "<i4"), ("rank", "<i4")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
@@ -228,7 +232,8 @@ def _short_lists(texts: DataFrame, rarity: np.ndarray, percent: int, partitions:
             rows = np.empty(n_held, pack)
             at = 0
             for g, i, n in held:
-                rows["gram"][at : at + len(g)], rows["id"][at : at + len(g)], rows["n"][at : at + len(g)] = g, i, n
+                part = rows[at : at + len(g)]
+                part["gram"], part["id"], part["n"], part["rank"] = g, i, n, np.arange(len(g))
                 at += len(g)
             held.clear()
             n_held = 0
@@ -244,6 +249,7 @@ def _short_lists(texts: DataFrame, rarity: np.ndarray, percent: int, partitions:
                 "grams": pa.array([rows["gram"][a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()),
                 "ids": pa.array([rows["id"][a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()),
                 "ns": pa.array([rows["n"][a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()),
+                "ranks": pa.array([rows["rank"][a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()),
             })
 
         for batch in batches:
@@ -264,28 +270,28 @@ def _short_lists(texts: DataFrame, rarity: np.ndarray, percent: int, partitions:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
 
-        def rows(g: np.ndarray, i: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(g: np.ndarray, i: np.ndarray, n: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(g), 100_000):
                 b = a + 100_000
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(g[a:b].view("<i8")), "id": pa.array(i[a:b]), "n": pa.array(n[a:b].astype("<i4"))})
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(g[a:b].view("<i8")), "id": pa.array(i[a:b]), "n": pa.array(n[a:b]), "rank": pa.array(k[a:b])})
 
         for batch in batches:
             for r in batch.to_pylist():
-                g, i, n = (np.frombuffer(r[c], d) for c, d in (("grams", "<u8"), ("ids", "<i8"), ("ns", "<i4")))
+                g, i, n, k = (np.frombuffer(r[c], d) for c, d in (("grams", "<u8"), ("ids", "<i8"), ("ns", "<i4"), ("ranks", "<i4")))
                 if r["frequent"]:
-                    yield from rows(g, i, n)
+                    yield from rows(g, i, n, k)
                 else:
-                    kept.append((g, i, n))
+                    kept.append((g, i, n, k))
         if kept:
-            g, i, n = (np.concatenate(c) for c in zip(*kept, strict=True))
+            g, i, n, k = (np.concatenate(c) for c in zip(*kept, strict=True))
             order = np.argsort(g)
-            g, i, n = g[order], i[order], n[order]
+            g, i, n, k = g[order], i[order], n[order], k[order]
             same = g[1:] == g[:-1]
             shared = np.r_[False, same] | np.r_[same, False]
-            yield from rows(g[shared], i[shared], n[shared])
+            yield from rows(g[shared], i[shared], n[shared], k[shared])
 
-    packed = texts.mapInArrow(cut, "p int, frequent boolean, grams binary, ids binary, ns binary")
-    return packed.repartition(partitions, "p").mapInArrow(lists, "gram long, id long, n int")
+    packed = texts.mapInArrow(cut, "p int, frequent boolean, grams binary, ids binary, ns binary, ranks binary")
+    return packed.repartition(partitions, "p").mapInArrow(lists, "gram long, id long, n int, rank int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +301,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     salted = stored(pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block")), "blocks")
     queries = blocks.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     wanted = salted.unionAll(queries.select("a", "b", F.col("block").cast("int")))
-    rows = texts.join(few_rows(stored(wanted, "wanted").withColumnRenamed("a", "id")), "id")
+    wanted = stored(wanted, "wanted")
+    rows = texts.join(few_rows(wanted.withColumnRenamed("a", "id")), "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, query, ids, sets = None, None, [], []
@@ -323,7 +330,35 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     first = (F.col("id") != F.col("b")).cast("int")
     grouped = rows.select("id", "b", "block", "text", first.alias("later")).repartition("b", "block").sortWithinPartitions("b", "block", "later")
-    return grouped.select("id", "b", "block", "text").mapInArrow(search, "a long, b long")
+    links = stored(grouped.select("id", "b", "block", "text").mapInArrow(search, "a long, b long"), "found")
+    forget(pairs, salted, wanted)
+    return links
+
+
+def _heads(lists: DataFrame, order: Column) -> DataFrame:
+    """(gram, head): the document of each list that ranks highest, the smallest id of equals."""
+    best = F.max_by(F.struct("id", "n", "component", "rank"), F.struct(order, -F.col("id")))
+    return lists.groupBy("gram").agg(best.alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("gram", "head")
+
+
+def _open(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The lists whose documents are in different components, with the documents' components."""
+    placed = lists.drop("component").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
+    return stored(placed.join(mixed, "gram"), "open")
+
+
+def _candidates(lists: DataFrame, heads: DataFrame, percent: int, both: bool = False) -> DataFrame:
+    """(a, b): documents of different components that meet in a list and can still reach the required overlap.
+
+    Of the T grams that two linked sets share at least, the rarest has T - 1 others after it in both sets, so it
+    stands at a rank of at most n - T in either. Every linked pair therefore meets in a list in which both ranks
+    allow it. A near copy whose own changes fill its first ranks meets nobody there.
+    """
+    shared = F.ceil((F.col("n") + F.col("head.n")) * percent / (100 + percent))
+    met = lists.join(heads, "gram").where("component <> head.component").where("component > head.component" if both else "id <> head.id")
+    able = (F.col("rank") <= F.col("n") - shared) & (F.col("head.rank") <= F.col("head.n") - shared)
+    return met.where(able).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -336,23 +371,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     alone = texts.join(others, "id", "left_anti")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     short = stored(_short_lists(alone, _rarity(first), percent, partitions), "short")
-
-    def close(a: str, b: str) -> Column:
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    heads = short.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    to_head = short.join(heads, "gram").where(F.col("id") != F.col("head.id")).where(close("n", "head.n"))
-    found = stored(_verified(to_head.select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct(), texts, percent), "found")
+    # heads: of every list the document whose lists are longest in all, which is the most central of near copies
+    lengths = short.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    weights = short.join(lengths, "gram").groupBy("id").agg(F.sum("m").alias("weight"))
+    weighed = stored(short.join(weights, "id").withColumn("component", F.col("id")), "lists")
+    forget(short)
+    found = _verified(_candidates(weighed, _heads(weighed, F.col("weight")), percent), texts, percent)
     parts = components(found)
-    placed = short.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    open_ = stored(placed.join(mixed, "gram"), "open")
-    one, two = open_.select("gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")), open_.select(
-        "gram", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b")
-    )
-    across = one.join(two, "gram").where("c_a > c_b").where(close("n_a", "n_b")).select("a", "b").distinct()
-    more = stored(_verified(across, texts, percent), "more")
+    open_ = _open(weighed, parts)
+    for turn in range(1, EXTRA_HEADS + 1):
+        more = _verified(_candidates(open_, _heads(open_, F.xxhash64("id", F.lit(turn))), percent), texts, percent)
+        if more.isEmpty():
+            break
+        found = found.unionAll(more)
+        parts = components(found)
+        forget(open_)
+        open_ = _open(weighed, parts)
+    across = _candidates(open_, open_.select("gram", F.struct("id", "n", "component", "rank").alias("head")), percent, both=True)
+    more = _verified(across, texts, percent)
     whole = components(found.unionAll(more)) if not more.isEmpty() else parts
+    forget(weighed, open_)
     by_rep = whole.select(F.col("id").alias("rep"), "component")
     placed_docs = members.join(by_rep, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     sized = first.where("chunk IS NULL").select("id", "n")

@@ -14,7 +14,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; cuts the lineage."""
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._stored_folder = folder
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more; everything derived from them must be stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(
         links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links"
     )
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    table = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    labels = table
     while True:
         near = (
             both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("other")), "b")
@@ -39,6 +50,8 @@ def components(links: DataFrame) -> DataFrame:
         roots = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
         jumped = stored(passed.join(roots, "component", "left").select("id", "was", F.coalesce(F.least("component", "root"), "component").alias("component")), "labels")
         changed = not jumped.where("was <> component").isEmpty()
-        labels = jumped.select("id", "component")
+        forget(table)
+        labels, table = jumped.select("id", "component"), jumped
         if not changed:
+            forget(both)
             return labels
