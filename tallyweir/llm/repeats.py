@@ -41,7 +41,9 @@ LENGTH = 400
 REACH = 160
 GRAM = 16
 SEGMENT = 1 << 18
-HELD_ROWS = 1_000_000
+HELD_ROWS, SLICE_ROWS = 250_000, 256
+#: Parts of a shuffle of packed rows for each of the session's shuffle partitions.
+PARTS = 3
 #: Rows up to which a table of intervals or contexts by document is broadcast, and their bytes; beyond, texts are shuffled.
 BROADCAST_ROWS, BROADCAST_MB = 300_000, 64
 
@@ -179,13 +181,17 @@ def _shared(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
     """The rows whose key occurs more than once in the corpus."""
     held = []
     for batch in batches:
-        for r in batch.to_pylist():
+        for a in range(batch.num_rows):  # row by row: a row holds many
+            r = batch.slice(a, 1).to_pylist()[0]
             if r["settled"]:
                 yield _unblob(r)
             else:
                 held.append(_unblob(r))
     if held:
-        rows, run, sizes = _runs(np.concatenate(held), by)
+        joined = np.concatenate(held)
+        held.clear()
+        rows, run, sizes = _runs(joined, by)
+        del joined
         stands = np.bincount(run, rows["known"]) > 0 if len(rows) else sizes
         yield rows[((sizes[run] > 1) | stands[run]) & (rows["first"] >= 0)] if len(rows) else rows
 
@@ -195,6 +201,13 @@ def _by_batches(rows: np.ndarray, columns: Callable[[np.ndarray], dict]) -> Iter
         yield pa.RecordBatch.from_pydict(columns(rows[a : a + 100_000]))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in small parts, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(a, SLICE_ROWS)
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body)).alias("doc"), F.col(f"`{doc_id}`").alias("id"), body.alias("text"))
@@ -210,11 +223,11 @@ def _beside_texts(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, reach: int = REACH) -> DataFrame:
     """(doc, first, end): ranges of bytes, overlapping, that together are the bytes in repeated strings."""
     spark = texts.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    partitions = PARTS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def source() -> Iterator[np.ndarray]:
-            for batch in batches:
+            for batch in _slices(batches):
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for group, context, first, last in phrases(np.frombuffer(text.encode(), np.uint8), length, reach):
                         rows = np.empty(len(group), ROW)
@@ -242,7 +255,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, reach: int = REACH)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def source() -> Iterator[np.ndarray]:
-            for batch in batches:
+            for batch in _slices(batches):
                 for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "list")), strict=True):
                     raw = np.frombuffer(text.encode(), np.uint8)
                     for c in found:
@@ -301,7 +314,7 @@ def _applied(docs: DataFrame, doc_id: str, text: str, length: int, reach: int, c
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, removed, kept = [], [], []
             for body, found in zip(batch.column("text").to_pylist(), batch.column("list").to_pylist(), strict=True):
                 raw = body.encode()
