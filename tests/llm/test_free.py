@@ -71,7 +71,7 @@ def test_round_trip_digests(spark, texts, library):
 def test_pieces_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "Hi  you", None)], "id int, text string, ids string")
     out = pieces.encode(df).orderBy("id").collect()
-    assert [len(r.ids) for r in out] == [1, 6 - 1] or out[0].ids == [2]
+    assert out[0].ids == [2]
     assert [r.decoded for r in pieces.decode(pieces.encode(df)).orderBy("id").collect()] == ["", "Hi  you"]
     assert pieces.encode(df.limit(0)).count() == 0
 
