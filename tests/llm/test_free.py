@@ -254,6 +254,24 @@ def test_page_text(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body, outer, article",
+    [
+        ("single no-sidebar", "", "post"), ("has-cookie-notice", "", "post"), ("", "", "post has-comments"), ("", "content with-sidebar", "post"),
+        ("sidebar login", "", "post"), ("", "", "related"), ("", "content sidebar", "post"), ("ads", "widget", "share"),
+    ],
+)
+def test_page_text_under_names_of_other_parts(body, outer, article):
+    def text(inner):
+        return "\n".join(pages.blocks(pages.measured(pages.parse(f'<html class="{body}"><body class="{body}">{inner}</body></html>')), set()))
+
+    rest = '<div class="comments"><p>late</p></div><div class="cookie-banner">ok?</div>'
+    assert text(f'<div class="{outer}"><article class="{article}"><h1>Head</h1><p>Body of the text.</p>{rest}</article></div>{rest}') == "Head\nBody of the text."
+    assert text(f'<div class="no-sidebar with-{article}"><h1>Head</h1><p>Body.</p></div>{rest}') == "Head\nBody."
+    assert text(f'<div><p>Body of the page.</p></div><div id="comments"><article class="{article}">late</article></div>') == "Body of the page."
+    assert text(f'<main class="{article}"><p>Body.</p></main>') == "Body." and text("<p>a</p><article hidden>b</article>") == "a"
+
+
 # --- classifier -------------------------------------------------------------------------------------------------------
 
 
