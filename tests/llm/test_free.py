@@ -272,6 +272,20 @@ def test_page_text_under_names_of_other_parts(body, outer, article):
     assert text(f'<main class="{article}"><p>Body.</p></main>') == "Body." and text("<p>a</p><article hidden>b</article>") == "a"
 
 
+def test_page_text_of_several_layouts(spark):
+    def first(i):
+        return f'<body><div class="top"><div>Our motto</div></div><div class="post"><p>One {i} text</p></div></body>'
+
+    def second(i):
+        return f'<body><section><p>Other motto</p></section><section class="entry"><h2>Head {i}</h2><p>Two {i}</p></section></body>'
+
+    rows = [(0, "http://h/0", ""), (1, "http://h/1", "<html><body></body></html>"), (2, "http://h/2", "<body><h1>Error 500</h1></body>")]
+    rows += [(10 + i, f"http://h/{i}", first(i)) for i in range(9)] + [(30 + i, f"http://h/{i}", second(i)) for i in range(9)]
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (out[0], out[1], out[2]) == ("", "", "Error 500")
+    assert all(out[10 + i] == f"One {i} text" and out[30 + i] == f"Head {i}\nTwo {i}" for i in range(9))
+
+
 # --- classifier -------------------------------------------------------------------------------------------------------
 
 
