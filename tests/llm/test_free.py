@@ -286,6 +286,22 @@ def test_page_text_of_several_layouts(spark):
     assert all(out[10 + i] == f"One {i} text" and out[30 + i] == f"Head {i}\nTwo {i}" for i in range(9))
 
 
+def test_page_text_of_near_copies(spark):
+    same = "".join(f"<p>Constant paragraph {k} of the article, in every copy of it.</p>" for k in range(4))
+    kept = "\n".join(f"Constant paragraph {k} of the article, in every copy of it." for k in range(4))
+
+    def rows(host, first, page, n=12):
+        return [(first + i, f"http://{host}/{i}", page(i)) for i in range(n)]
+
+    data = rows("a", 0, lambda i: f"<body><div>Motto</div><article><p>Seen {i} times</p>{same}</article></body>")
+    data += rows("b", 100, lambda i: f"<body><div><p>Seen {i} times</p>{same}</div></body>")
+    data += rows("c", 200, lambda i: f"<body><div>Motto of c</div><div><p>Heading</p>{same if i < 10 else f'<p>Another text, number {i}</p>' * 4}</div></body>")
+    data += rows("d", 300, lambda i: f"<body><article><h2>Summary</h2><p>Text {i}</p></article></body>")
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Seen {i} times\n{kept}" and out[100 + i] == f"Seen {i} times\n{kept}" for i in range(12))
+    assert all(kept in out[200 + i] for i in range(10)) and all(out[300 + i] == f"Summary\nText {i}" for i in range(12))
+
+
 # --- classifier -------------------------------------------------------------------------------------------------------
 
 
