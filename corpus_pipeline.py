@@ -25,7 +25,7 @@ from tallyweir.llm.links import stored
 from tallyweir.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-POLICY = "v1"
+POLICY = "v3"
 KEY = "__key"
 
 

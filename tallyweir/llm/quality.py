@@ -22,6 +22,10 @@ from tallyweir.llm.text import covered, let, repeated_windows, whole, words
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"  # fixed value of the contract
 BLANK_CHARACTERS = " \t\n\x0b\x0c\r"
+#: Runs of ASCII or Latin characters; scripts that set no blanks between words have none.
+LATIN_RUN = r"[\x21-\x7E\u00A1-\u024F\u1E00-\u1EFF]+"
+#: A table row, its single bars, and a bar that stands alone.
+TABLE_LINE, TABLE_BAR, LONE_BAR = r"^\s*\|.*[^|\s].*\|\s*$", r"(?<!\|)\|(?!\|)", r"(?<!\S)\|(?!\S)"
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,8 @@ RULES = (
     Rule("exclamation", "2 * n_exclaimed > n_words"),
     Rule("long_words", "word_chars > 40 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines AND n_lines >= 4"),
+    Rule("symbols_off_tables", "2 * (n_symbols - n_bars) > n_words - n_bar_words"),
+    Rule("long_latin_words", "latin_chars > 40 * n_latin_runs AND 2 * latin_chars > word_chars"),
 )
 BASE = ("few_words", "repeated_words")
 
@@ -53,9 +59,12 @@ def mask_of(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
 POLICIES = {
     "base": mask_of(BASE),
     "v1": mask_of(("few_words", "repeated_words", "symbols", "exclamation", "long_words")),
-    "v2": mask_of(tuple(rule.name for rule in RULES)),
+    "v2": mask_of(("few_words", "repeated_words", "symbols", "exclamation", "long_words", "repeated_lines")),
+    "v3": mask_of(("few_words", "repeated_words", "exclamation", "symbols_off_tables", "long_latin_words")),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclaimed")
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclaimed", "n_bars", "n_bar_words", "n_latin_runs", "latin_chars",
+)
 
 
 def measurements(text: Column) -> Column:
@@ -69,6 +78,7 @@ def measurements(text: Column) -> Column:
     def of_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
+            F.size(F.filter(w, lambda x: x == "|")).cast("long").alias("n_bar_words"),
             covered(repeated_windows(w, WINDOW), WINDOW).alias("n_repeat_words"),
             let(
                 F.array_join(w, ""),
@@ -80,14 +90,22 @@ def measurements(text: Column) -> Column:
             ).alias("k"),
         )
 
+    def bars(line: Column) -> Column:
+        return F.when(line.rlike(TABLE_LINE), F.regexp_count(line, F.lit(TABLE_BAR))).otherwise(F.regexp_count(line, F.lit(LONE_BAR)))
+
     def of_lines(found: Column) -> Column:
+        barred = F.filter(found, lambda line: F.contains(line, F.lit("|")))
         return F.struct(
+            F.aggregate(F.transform(barred, bars), F.lit(0).cast("long"), lambda n, k: n + k).alias("n_bars"),
             F.size(found).cast("long").alias("n_lines"),
             (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
         )
 
     return let(
-        F.struct(let(words(body), of_words).alias("w"), let(lines, of_lines).alias("l")),
+        F.struct(
+            let(words(body), of_words).alias("w"), let(lines, of_lines).alias("l"), F.regexp_count(body, F.lit(LATIN_RUN)).cast("long").alias("runs"),
+            (chars(body) - chars(F.regexp_replace(body, LATIN_RUN, ""))).alias("latin"),
+        ),
         lambda x: F.struct(
             x["w"]["n_words"].alias("n_words"),
             x["w"]["k"]["chars"].alias("word_chars"),
@@ -96,6 +114,10 @@ def measurements(text: Column) -> Column:
             x["l"]["n_dup_lines"].alias("n_dup_lines"),
             x["w"]["n_repeat_words"].alias("n_repeat_words"),
             x["w"]["k"]["exclaimed"].alias("n_exclaimed"),
+            x["l"]["n_bars"].alias("n_bars"),
+            x["w"]["n_bar_words"].alias("n_bar_words"),
+            x["runs"].alias("n_latin_runs"),
+            x["latin"].alias("latin_chars"),
         ),
     )
 

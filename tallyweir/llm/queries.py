@@ -87,7 +87,8 @@ def op3_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.ledger(_read(spark, folder, "documents"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "n_lines", "n_exclaimed", "failed_bits",
+        (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "n_lines", "n_exclaimed",
+        F.col("failed_bits").bitwiseAND(F.lit(quality.POLICIES["v2"]).cast("long")).alias("failed_bits"),  # the rules of its SQL
     )
 
 

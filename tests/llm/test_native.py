@@ -61,6 +61,18 @@ def test_quality_clashes_and_ablations(spark):
     assert quality.ledger(df.limit(0)).count() == 0
 
 
+def test_quality_keeps_clean_texts_without_blanks_and_tables(spark):
+    chinese = "\n".join("这是一篇没有空格的干净文章的第" + chr(0x4E00 + i) + "段" + "内容各不相同而且句子都很长" * 3 + chr(0x5E00 + i) for i in range(14))
+    rows = [
+        (1, chinese), (2, chinese + "\nhttps://example.org/" + "path/" * 12), (3, "\n".join(f"| name{i} | {i * 7} |" for i in range(20))),
+        (4, "|name|value|\n|---|---|\n" + "\n".join(f"|n{i}|{i * 7}|" for i in range(20))), (5, "\n".join(f"a{i} | b{i} | c{i}" for i in range(20))),
+        (6, " ".join(f"{i}" + "Zm9vYmFy" * 8 for i in range(12))), (7, "\n".join(f"x{i}### y{i}$$$ ||| |" for i in range(20))), (8, "\n".join(f"| #{i} | #{i}# |" for i in range(20))),
+    ]
+    passed = quality.ledger(frame(spark, rows)).withColumns({p: quality.passes(p) for p in ("base", "v1", "v3")}).collect()
+    assert all(r.base for r in passed) and not any(r.v1 for r in passed if r.doc_id != 5)
+    assert [r.doc_id for r in sorted(passed) if r.v3] == [1, 2, 3, 4, 5]
+
+
 def brute_overlap(docs, items):
     win = set()
     for item, text in items:
