@@ -21,6 +21,8 @@ gives no match; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ PERCENT = 75
 #: Rows of the templates' bands up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 
-#: Short notices as their licenses ask for them. (license, text)
+#: Notices as their licenses ask for them, and clauses of the short licenses, of STRIDE words at most. (license, text)
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("mit", "Released under the MIT License"),
@@ -47,9 +49,58 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("all-rights-reserved", "All rights reserved"),
+    ("gpl-2.0", "General Public License, version 2"),
+    ("gpl-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-2.1", "Lesser General Public License, version 2.1"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("cc-by-nc-sa-4.0", "CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd-4.0", "CC BY-NC-ND 4.0"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    ("cc0-1.0", "CC0 1.0 Universal"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+)
+#: Words that must stand in a row in the window, by license and first words of the template: versions and limits, which 75 % of the triples don't hold.
+REQUIRED = (
+    ("gpl-2.0", "general", "gnu general public license version 2"),
+    ("gpl-2.0", "gnu", "gnu general public license|either version 2 of the license"),
+    ("gpl-3.0", "gnu", "gnu general public license|either version 3 of the license"),
+    ("gpl-3.0", "this", "gnu general public license version 3"),
+    ("lgpl-3.0", "this", "lesser general public license version 3"),
+    ("agpl-3.0", "this", "affero general public license version 3"),
+    ("lgpl-2.1", "lesser", "lesser general public license version 2 1"),
+    ("mpl-2.0", "this", "mozilla public license v 2"),
+    ("cc-by-4.0", "this", "commons attribution 4"),
+    ("cc-by-sa-4.0", "this", "commons attribution sharealike 4"),
+    ("cc-by-nc-4.0", "this", "commons attribution noncommercial 4"),
+    ("cc-by-nd-4.0", "this", "commons attribution noderivatives 4"),
+    ("cc-by-nc-sa-4.0", "this", "commons attribution noncommercial sharealike 4"),
+    ("cc-by-nc-nd-4.0", "this", "commons attribution noncommercial noderivatives 4"),
+    ("cc0-1.0", "cc0", "cc0 1 0"),
 )
 
 
+def _holds_required(license: Column, part: Column, inside: Column) -> Column:
+    """Whether the window holds the words that its template requires."""
+    text = F.concat(F.lit(" "), F.array_join(inside, " "), F.lit(" "))
+    ok = F.lit(True)
+    for name, first, phrases in REQUIRED:
+        held = reduce(Column.__and__, [F.contains(text, F.lit(f" {p} ")) for p in phrases.split("|")])
+        ok = F.when((license == name) & F.startswith(part, F.lit(f"{first} ")), held).otherwise(ok)
+    return ok
+
+
 def _triples(words: Column) -> Column:
     """The distinct shingles of a word list, as text; the whole list if it is shorter."""
     spread = let(
@@ -89,7 +140,7 @@ def default_templates(docs: DataFrame) -> DataFrame:
 
 def matches(
     docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, required: bool = False,
 ) -> DataFrame:
     """Verified windows: doc, window (its first word), license, part, shared (shingles of the part that the window has), of."""
     known = template_parts(templates)
@@ -115,14 +166,15 @@ def matches(
         lambda hs: F.exists(hs, lambda h: h == F.col("band")) & ~F.exists(hs, lambda h: (_bin(h) == _bin(F.col("band"))) & (h < F.col("band"))),
     )
     retrieved = near.where(smallest)
+    held = _holds_required(F.col("license"), F.col("part"), F.col("inside")) if required else F.lit(True)
     shared = F.size(F.array_intersect("shingles", _triples(F.col("inside"))))
-    counted = retrieved.select("doc", "window", "license", "part", shared.alias("shared"), F.size("shingles").alias("of"))
-    return counted.where(100 * F.col("shared") >= percent * F.col("of")).distinct()
+    counted = retrieved.select("doc", "window", "license", "part", shared.alias("shared"), F.size("shingles").alias("of"), held.alias("held"))
+    return counted.where((100 * F.col("shared") >= percent * F.col("of")) & F.col("held")).drop("held").distinct()
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document id: doc, n_windows (windows that hold a notice), licenses (names, sorted)."""
-    found = matches(docs, default_templates(docs) if templates is None else templates, doc_id, text, percent)
+    found = matches(docs, default_templates(docs) if templates is None else templates, doc_id, text, percent, required=templates is None)
     per_doc = found.groupBy("doc").agg(
         F.count_distinct("window", "part").alias("n_windows"), F.array_sort(F.collect_set("license")).alias("licenses")
     )

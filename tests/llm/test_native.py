@@ -158,6 +158,23 @@ def test_added_kinds_and_redaction(spark):
     assert pii.redact(frame(spark, [])).count() == 0
 
 
+def test_license_versions_limits_and_bodies(spark):
+    cc, gnu = "This work is licensed under a Creative Commons Attribution", "This work is licensed under the GNU "
+    rows = [
+        ("All rights reserved.", ["all-rights-reserved"]), (gnu + "General Public License, version 2", ["gpl-2.0"]), (gnu + "General Public License, version 3", ["gpl-3.0"]),
+        (gnu + "Affero General Public License, version 3", ["agpl-3.0"]), (gnu + "Lesser General Public License, version 2.1", ["lgpl-2.1"]),
+        (cc + " 4.0 International License", ["cc-by-4.0"]), (cc + "-NonCommercial-ShareAlike 4.0 International License", ["cc-by-nc-sa-4.0"]),
+        (cc + "-ShareAlike 4.0 International License", ["cc-by-sa-4.0"]), (cc + "-NonCommercial-NoDerivatives 4.0 International License", ["cc-by-nc-nd-4.0"]),
+        ("either version 2 of the License, GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ["gpl-2.0"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["isc"]),
+        ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["mit"]),
+        ("GNU General Public License, version 3, or Apache License, Version 2.0", []), ("CC BY-NC-SA 4.0", ["cc-by-nc-sa-4.0"]), ("CC0 1.0 Universal", ["cc0-1.0"]),
+    ]
+    out = {r.doc: r.licenses for r in licenses.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    assert out == {i: found for i, (_, found) in enumerate(rows)}
+    assert all(len(ITEM_WORD.findall(t)) <= licenses.STRIDE for _, t in licenses.TEMPLATES)
+
+
 def test_license_scan(spark):
     word = " filler"
     rows = [
