@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.llm import classifier, decontaminate, jaccard, licenses, pages, pieces, pii, quality, repeats, token_files
+from tallyweir.llm import classifier, decontaminate, embeddings, jaccard, licenses, manifest, pages, periodic, pieces, pii, quality, repeats, token_files
+from tallyweir.llm.text import words
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -197,6 +198,134 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = d.doc_id
 """
 
+def repeated_from(doc_id: Column, text: Column) -> Column:
+    """The contract's rewriting: in a tenth of the documents every word from a place on repeats the first few words there."""
+    h = F.crc32(doc_id.cast("string"))
+    items, g = words(text), F.floor(h / 10)
+
+    def rewritten(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + F.pmod(i - a, p)).cast("int")))), " ")
+
+    changed = F.get(F.transform(F.filter(F.array(items), lambda w: F.size(w) > 0), rewritten), F.lit(0))
+    return F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", repeated_from(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (
+        found.withColumn("longest", longest).withColumn("length", -F.col("longest.less"))
+        .select(
+            "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "length", "longest.period",
+            F.floor(1000 * F.col("length") / F.col("longest.period")).cast("long").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    changed = F.when(tampered, manifest.leaf_digest(*others, F.replace("text", F.lit("\n"), F.lit(""))))
+    rows, root = manifest.manifest(
+        docs, [*others, F.col("text")], F.col("source"), F.col("doc_id"), [F.col("doc_id"), changed.alias("changed")]
+    )
+    folded = manifest.fold(F.coalesce("row.changed", "leaf"), F.col("path"))
+    return rows.select(
+        "row.doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"),
+        F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# The tree of every source and that of the subroots, level by level; a leaf walks up with its own and its tampered digest.
+# crc32 is written as a fold over the bits of the decimal digits.
+OP12_SQL = r"""
+WITH RECURSIVE enc AS (
+  SELECT doc_id, source, text, concat(
+           coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
+           coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head,
+         replace(text, chr(10), '') AS flat
+  FROM documents
+), crc AS (
+  SELECT *, xor(4294967295, list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1),
+             lambda i: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))) AS h
+  FROM enc
+), leaves AS (
+  SELECT doc_id, source, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+         CASE WHEN h % 2 = 0 THEN sha256(concat(head, coalesce(concat(strlen(flat), ':', flat), '-')))
+              ELSE sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) END AS seen
+  FROM crc
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM leaves
+), low(lvl, source, idx, n, d) AS (
+  SELECT 0, source, idx, n, leaf FROM placed
+  UNION ALL
+  SELECT lvl + 1, source, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM low WHERE n > 1
+  GROUP BY lvl, source, idx // 3, n
+), subs AS (
+  SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), up(lvl, idx, n, d) AS (
+  SELECT 0, idx, n, subroot FROM subs
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY lvl, idx // 3, n
+), low_runs AS (
+  SELECT lvl, source, idx // 3 AS parent, list(d ORDER BY idx) AS ds FROM low WHERE n > 1 GROUP BY ALL
+), up_runs AS (
+  SELECT lvl, idx // 3 AS parent, list(d ORDER BY idx) AS ds FROM up WHERE n > 1 GROUP BY ALL
+), walk(lvl, doc_id, source, leaf, place, idx, n, seen, proof) AS (
+  SELECT 0, doc_id, source, leaf, idx, idx, n, seen, '' FROM placed
+  UNION ALL
+  SELECT w.lvl + 1, w.doc_id, w.source, w.leaf, w.place, w.idx // 3, (w.n + 2) // 3,
+         sha256(array_to_string(list_concat(r.ds[1:w.idx % 3], [w.seen], r.ds[w.idx % 3 + 2:]), '')),
+         concat(w.proof, array_to_string(list_concat(r.ds[1:w.idx % 3], r.ds[w.idx % 3 + 2:]), ''))
+  FROM walk w JOIN low_runs r ON w.lvl = r.lvl AND w.source IS NOT DISTINCT FROM r.source AND w.idx // 3 = r.parent WHERE w.n > 1
+), stroll(lvl, doc_id, place, source, leaf, subroot, idx, n, seen, proof) AS (
+  SELECT 0, w.doc_id, w.place, w.source, w.leaf, s.subroot, s.idx, s.n, w.seen, w.proof
+  FROM walk w JOIN subs s ON w.source IS NOT DISTINCT FROM s.source WHERE w.n = 1
+  UNION ALL
+  SELECT w.lvl + 1, w.doc_id, w.place, w.source, w.leaf, w.subroot, w.idx // 3, (w.n + 2) // 3,
+         sha256(array_to_string(list_concat(r.ds[1:w.idx % 3], [w.seen], r.ds[w.idx % 3 + 2:]), '')),
+         concat(w.proof, array_to_string(list_concat(r.ds[1:w.idx % 3], r.ds[w.idx % 3 + 2:]), ''))
+  FROM stroll w JOIN up_runs r ON w.lvl = r.lvl AND w.idx // 3 = r.parent WHERE w.n > 1
+)
+SELECT doc_id, leaf, subroot, root.d AS root, sha256(proof) AS proof_sha256, seen AS folded_root, seen = root.d AS verified
+FROM stroll, (SELECT d FROM up WHERE n = 1) AS root WHERE n = 1
+"""
+
+
+def op13_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = embeddings.near_vectors(_read(spark, folder, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98
+), reach(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS m FROM reach GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(c.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
 QUERIES: dict[str, Run] = {
     "op1_benchmark_overlap": op1_benchmark_overlap,
     "op2_license_scan": op2_license_scan,
@@ -208,10 +337,15 @@ QUERIES: dict[str, Run] = {
     "op8_page_text": op8_page_text,
     "op9_gram_components": op9_gram_components,
     "op10_quality_score": op10_quality_score,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_near_vectors": op13_near_vectors,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_overlap": OP1_SQL,
     "op2_license_scan": OP2_SQL,
     "op3_quality_ledger": OP3_SQL,
     "op9_gram_components": OP9_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_near_vectors": OP13_SQL,
 }
