@@ -487,12 +487,6 @@ def one_pool_fit(t: Tables) -> DataFrame:
     )
 
 
-@query("DOM-13 DOM-14 SET-03 P36")
-def candidate_stratified_fits(t: Tables) -> DataFrame:
-    """Three models for every season; iterative, so checked by goldens and brute force in the tests."""
-    return estimates.candidate_fits(marks.mark_matrix(t.wild))
-
-
 @query(
     "DOM-14 SET-03 P36",
     f"""{_POOLS}, own AS (SELECT * FROM matrix WHERE kind <> 'unassigned'),
@@ -520,11 +514,6 @@ def candidate_fit_shapes(t: Tables) -> DataFrame:
     return fits.select("iso_year", "model_id", "n_rows", "n_cols", "n_pools", "merged_weeks", "np", "gof_df")
 
 
-@query("DOM-15 WIN-02 SRT-05 P37")
-def ranked_models(t: Tables) -> DataFrame:
-    return estimates.model_report(estimates.candidate_fits(marks.mark_matrix(t.wild)))
-
-
 # ---- yearly pooled estimates ------------------------------------------------------------
 
 

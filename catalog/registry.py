@@ -52,8 +52,8 @@ def with_tables(sql: str | None) -> str | None:
     if not needed:
         return body
     defs = ",\n".join(f"{name} AS ({SQL[name].strip()})" for name in needed)
-    match = re.match(r"WITH\s+", body, flags=re.IGNORECASE)
-    return f"WITH {defs},\n{body[match.end():]}" if match else f"WITH {defs}\n{body}"
+    match = re.match(r"WITH\s+(RECURSIVE\s+)?", body, flags=re.IGNORECASE)
+    return f"{match.group()}{defs},\n{body[match.end():]}" if match else f"WITH {defs}\n{body}"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

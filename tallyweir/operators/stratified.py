@@ -129,7 +129,7 @@ def _poisson_log(k, mean):
     return np.where(mean > 0, k * np.log(np.where(mean > 0, mean, 1.0)) - mean - gamma, 0.0).sum()
 
 
-def _pool_empty_columns(marked, u):
+def join_empty_weeks(marked, u):
     """Join each week without marked recoveries to the last week before it that has some (or the
     first after it): its unmarked catch says nothing about a capture rate of its own. The fit reports
     how many weeks were joined (``merged_weeks``)."""
@@ -140,13 +140,8 @@ def _pool_empty_columns(marked, u):
     return marked[:, filled], np.bincount(spot, weights=u, minlength=len(filled))
 
 
-def fit_season(cells: pd.DataFrame) -> dict:
-    """Fit one matrix given as rows ``(kind, row, col, pool, n)``.
-
-    No fit is given when a pool has no recaptures, no standard error when a pool is fully caught
-    (``boundary``). ``overdrawn_rows`` counts weeks with more recoveries than releases, which no
-    closed population can produce; their "never seen" cell enters the likelihood as zero.
-    """
+def _season_arrays(cells: pd.DataFrame):
+    """Recoveries by (row, week), never seen again by row, unmarked by week, and the rows' pools as 0/1 rows with their names."""
     rows = sorted(cells.loc[cells["kind"].isin(["recovered", "never"]), "row"].unique())
     cols = sorted(cells.loc[cells["kind"].isin(["recovered", "unmarked"]), "col"].unique())
     row_at, col_at = {r: i for i, r in enumerate(rows)}, {c: j for j, c in enumerate(cols)}
@@ -161,22 +156,39 @@ def fit_season(cells: pd.DataFrame) -> dict:
             marked[row_at[row], col_at[column]] += n
         else:
             never[row_at[row]] += n
-    n_weeks = len(u)
-    marked, u = _pool_empty_columns(marked, u)
     labels = sorted(set(pool_of.values()))
-    member = np.array([[pool_of[i] == g for i in range(len(rows))] for g in labels], dtype=float)
+    member = np.array([[pool_of[i] == g for i in range(len(rows))] for g in labels], dtype=float).reshape(len(labels), len(rows))
+    return marked, never, u, member, labels
+
+
+def pooled_counts(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Recoveries by (pool, week), unmarked by week and releases by pool of one group's cells."""
+    marked, never, u, member, _ = _season_arrays(cells)
+    return member @ marked, u, member @ (marked.sum(axis=1) + never)
+
+
+def fit_season(cells: pd.DataFrame) -> dict:
+    """Fit one matrix given as rows ``(kind, row, col, pool, n)``.
+
+    No fit is given when a pool has no recaptures, no standard error when a pool is fully caught
+    (``boundary``). ``overdrawn_rows`` counts weeks with more recoveries than releases, which no
+    closed population can produce; their "never seen" cell enters the likelihood as zero.
+    """
+    marked, never, u, member, labels = _season_arrays(cells)
+    n_weeks = len(u)
+    marked, u = join_empty_weeks(marked, u)
     m = member @ marked
     released = member @ (marked.sum(axis=1) + never)
-    usable = bool((m.sum(axis=1) > 0).all()) and u.sum() > 0 and len(rows) > 0
+    usable = bool((m.sum(axis=1) > 0).all()) and u.sum() > 0 and len(never) > 0
     out = dict(
-        n_rows=len(rows), n_cols=len(u), n_pools=len(labels), merged_weeks=n_weeks - len(u), pools=[str(g) for g in labels],
+        n_rows=len(never), n_cols=len(u), n_pools=len(labels), merged_weeks=n_weeks - len(u), pools=[str(g) for g in labels],
         log_lik=None, np=None, aicc=None, gof_chisq=None, gof_df=None, gof_p=None, n_hat=None, n_hat_se=None,
         boundary=None, converged=False, overdrawn_rows=int((never < 0).sum()), capture_p=None,
     )
     if not usable:
         return out
     beta, theta, converged = fit_pools(m, u)
-    out.update(np=int((marked > 0).sum() + len(rows) + len(labels)), gof_df=int((u > 0).sum() - len(labels)))
+    out.update(np=int((marked > 0).sum() + len(never) + len(labels)), gof_df=int((u > 0).sum() - len(labels)))
     if not converged:  # no estimate and no criterion from a fit that has not arrived
         return out
     boundary = bool((beta < 1e-6).any())

@@ -36,16 +36,35 @@ def pools_by_share(strata: DataFrame, shares: dict[str, float], keys: Sequence[s
     return pooled.drop(*least)
 
 
-def candidate_fits(
+def candidate_cells(
     matrix: DataFrame, keys: Sequence[str] = ("iso_year",), minimum: dict[str, float] = POOL_MINIMUM,
     shares: dict[str, float] | None = None,
 ) -> DataFrame:
-    """One pool, every week its own pool, and automatic pooling (by totals, or by shares), for every season."""
+    """The cells of three models per season: one pool, every week its own pool, and automatic pooling (by totals, or by shares)."""
     matrix = materialise(matrix)  # weekly cells; used by three models and by the pooling rule
     strata = stratum_totals(matrix, keys)
     pools = auto_pool(strata, minimum, keys) if shares is None else pools_by_share(strata, shares, keys)
     models = {MODEL_NAMES["single"]: "single", MODEL_NAMES["full"]: "full", MODEL_NAMES["auto"]: pools}
-    return fit_models(candidate_models(matrix, models, keys), keys)
+    return candidate_models(matrix, models, keys)
+
+
+def candidate_fits(
+    matrix: DataFrame, keys: Sequence[str] = ("iso_year",), minimum: dict[str, float] = POOL_MINIMUM,
+    shares: dict[str, float] | None = None,
+) -> DataFrame:
+    """The fits of :func:`candidate_cells`."""
+    return fit_models(candidate_cells(matrix, keys, minimum, shares), keys)
+
+
+def interior_only(fits: DataFrame) -> DataFrame:
+    """Column ``interior``, and no estimates where it is false.
+
+    A rate on its boundary makes the information matrix, and with it the criterion and the standard error, invalid; an interval
+    for such a fit comes from :func:`tallyweir.operators.bootstrap.abundance_intervals`.
+    """
+    inside = F.coalesce(F.col("converged") & ~F.col("boundary"), F.lit(False))
+    estimates = ("log_lik", "aicc", "gof_chisq", "gof_p", "n_hat", "n_hat_se", "capture_p")
+    return fits.withColumn("interior", inside).withColumns({c: F.when(F.col("interior"), F.col(c)) for c in estimates})
 
 
 def model_report(fits: DataFrame, keys: Sequence[str] = ("iso_year",)) -> DataFrame:
