@@ -12,7 +12,7 @@ counted; a larger one is joined by shuffle, the document side then carrying only
 Defined results: a null or empty text has no words, no hits and is not contaminated; items without words
 (null included) have no windows; an item with a null id marks words but is not listed; repeated items and
 repeated document rows count once per row; empty tables give empty or all-clean results; other columns are
-ignored. Documents are identified by ``id_col``; rows with the same or a null id are judged together.
+ignored. Rows are told apart by id and a hash of the text, so rows with the same or a null id are judged one by one.
 """
 
 from __future__ import annotations
@@ -126,11 +126,13 @@ def contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", width: int = WINDOW_WORDS, percent: int = 5, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Per document: doc, n_words, n_hit (words inside an occurrence), items (ids, sorted as text), contaminated.
+    """Per document: doc, text_hash (of the text, 64 bits), n_words, n_hit (words inside an occurrence), items (ids, sorted as text), contaminated.
 
     A document is contaminated if it has a hit and at least ``percent`` of its words are hit.
     """
-    marks = hits(docs, items, doc_id, text, item_id, item_text, width, broadcast_rows)
+    doc = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text"))
+    rows = docs.select(doc.alias("doc"), F.col(f"`{text}`").alias("text"))
+    marks = hits(rows, items, "doc", "text", item_id, item_text, width, broadcast_rows)
     # intervals of one document: repeated windows of many items meet in few distinct ones before anything is gathered
     spans = marks.groupBy("doc", "start").agg(F.max("n").alias("n"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     by_start = F.array_sort(F.collect_list(F.struct("start", "n")))
@@ -146,10 +148,10 @@ def contamination(
     per_doc = spans.groupBy("doc").agg(
         ends.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items")
     )
-    sized = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.size(item_words(F.col(f"`{text}`"))).cast("long").alias("n_words"))
+    sized = rows.select("doc", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
     joined = sized.join(per_doc.withColumnRenamed("doc", "hit_doc"), F.col("doc").eqNullSafe(F.col("hit_doc")), "left").drop("hit_doc")
     filled = joined.select(
-        "doc", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.col("doc.id").alias("doc"), F.col("doc.text").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
     return filled.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))

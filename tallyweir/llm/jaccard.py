@@ -18,8 +18,10 @@ so a candidate must occur T times in the inverted lists of the query's grams.
 
 Components need no link inside a component, so none is lost that joins two of them. Defined results: a null
 or blank text has no gram, links with nothing and is its own component; fewer than five words are one gram;
-repeated rows are equal sets, and rows with one id give one row; rows without an id are left out; an empty table gives an empty result; other
-columns are ignored.
+every row gives a row. Rows are told apart by their id; where ids repeat or are null (``ids_differ``, an
+aggregate over the ids), by a hash of id and text (``row_key``), so that different texts of one id are different documents and equal
+rows are one. A row without id takes the smallest id of its component, null if there is none. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ PERCENT = 75
 #: Entries of the rarity table: a fixed size whatever the corpus; one of 4 bytes each is sent to every task.
 BUCKETS = 1 << 20
 #: Grams that a task holds before it passes them on.
-HELD_GRAMS = 1_500_000
+HELD_GRAMS = 400_000
+#: Texts that a task turns into grams at a time.
+HELD_TEXTS = 256
 #: Candidates that are searched together.
 BLOCK = 256
 #: Turns with other heads, before documents of different components are compared with all they meet.
@@ -132,8 +136,23 @@ def linked(query: np.ndarray, block: list[np.ndarray], percent: int = PERCENT) -
     return [i for i, shared in found.items() if shared >= needed(len(query), sizes[i], percent)]
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("id IS NOT NULL")
+def ids_differ(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether every row has an id of its own."""
+    counts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id")).groupBy("id").count()
+    return counts.where("count > 1 OR id IS NULL").isEmpty()
+
+
+def row_key(differ: bool, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A number that tells the rows apart: the id if the ids differ, else a 64-bit hash of id and text."""
+    id_, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
+    return id_ if differ else F.xxhash64(id_, body)
+
+
+def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
+    """Key and text of every row; only a few texts are Python objects at a time."""
+    for a in range(0, batch.num_rows, HELD_TEXTS):
+        part = batch.slice(a, HELD_TEXTS)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
 
 
 def _first_pass(texts: DataFrame) -> DataFrame:
@@ -157,7 +176,7 @@ def _first_pass(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             out: dict[str, list] = {"id": batch.column(0).to_pylist(), "n": [], "hi": [], "lo": []}
-            for t in batch.column(1).to_pylist():
+            for _, t in _texts_of(batch):
                 g = grams(t)
                 print_ = np.frombuffer(xxhash.xxh3_128_digest(g.tobytes()), dtype="<i8")
                 out["n"].append(len(g))
@@ -253,7 +272,7 @@ def _short_lists(texts: DataFrame, rarity: np.ndarray, percent: int, partitions:
             })
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t in _texts_of(batch):
                 g = grams(t)
                 n = len(g)
                 if not n:
@@ -312,7 +331,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"a": pa.array([ids[h] for h in hits], pa.int64()), "b": pa.array([key[0]] * len(hits), pa.int64())})
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (row for a in range(0, batch.num_rows, HELD_TEXTS) for row in batch.slice(a, HELD_TEXTS).to_pylist()):
                 if (r["b"], r["block"]) != key:
                     if key is not None:
                         yield found()
@@ -361,10 +380,9 @@ def _candidates(lists: DataFrame, heads: DataFrame, percent: int, both: bool = F
     return met.where(able).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per document: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
-    spark = docs.sparkSession
-    texts = _texts(docs, doc_id, text)
+def keyed_components(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, n, component) of (id, text) rows with different ids; component is the smallest id reachable by links."""
+    spark = texts.sparkSession
     first = stored(_first_pass(texts), "sets")
     members = stored(classes(first), "classes")
     others = few_rows(members.where("id <> rep").select("id"))
@@ -394,6 +412,27 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     by_rep = whole.select(F.col("id").alias("rep"), "component")
     placed_docs = members.join(by_rep, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     sized = first.where("chunk IS NULL").select("id", "n")
-    return sized.dropDuplicates(["id"]).join(placed_docs.dropDuplicates(["id"]), "id", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+    return sized.join(placed_docs, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+
+
+def row_components(docs: DataFrame, differ: bool, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(key, id, n, component) of the different rows; component is one of their keys (``row_key``), the smallest."""
+    key, id_, body = row_key(differ, doc_id, text), F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
+    if differ:
+        found = keyed_components(docs.select(key.alias("id"), body.alias("text")), percent)
+        return found.select(F.col("id").alias("key"), "id", "n", "component")
+    rows = stored(docs.select(key.alias("key"), id_.alias("id"), body.alias("text")).dropDuplicates(["key"]), "rows")
+    found = keyed_components(rows.select(F.col("key").alias("id"), "text"), percent).withColumnRenamed("id", "key")
+    return rows.select("key", "id").join(found, "key").select("key", "id", "n", "component")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+    differ = ids_differ(docs, doc_id)
+    found = row_components(docs, differ, doc_id, text, percent)
+    if differ:
+        return found.select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    least = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    by_key = found.join(few_rows(least), "component").select("key", F.col("n").alias("n_shingles"), "component_id")
+    rows = docs.select(row_key(differ, doc_id, text).alias("key"), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    return rows.join(by_key, "key").select("id", "n_shingles", "component_id")

@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         by_stage[name] = (docs, docs := stored(stage(spark, docs, folder), name))
     before, after = by_stage["quality_rules"]
-    passed = {r.doc_id for r in quality.ledger(before).where(quality.passes("v1")).collect()}
+    passed = {r.doc_id for r in quality.ledger(before).where(quality.passes(corpus_pipeline.POLICY)).collect()}
     assert {r.doc_id for r in after.collect()} == passed and after.columns == before.columns
 
     before, after = by_stage["near_duplicates"]

@@ -1,0 +1,44 @@
+"""Rows with repeated or missing ids are documents of their own."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from tallyweir.llm import decontaminate, jaccard
+from tallyweir.llm.links import stored
+
+A = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+B = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+
+
+def test_jaccard_keeps_every_row(spark):
+    rows = [(1, A), (1, B), (None, A + " phi"), (None, "quite another text of some length"), (5, B), (1, A), (2, None)]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r.id, r.n_shingles, r.component_id) for r in out))) == sorted(
+        map(str, [(1, 16, 1), (1, 12, 1), (None, 17, 1), (None, 2, None), (5, 12, 1), (1, 16, 1), (2, 0, 2)])
+    )
+
+
+def test_contamination_judges_rows_one_by_one(spark):
+    docs = spark.createDataFrame(
+        [(1, B), (1, "plain words only here"), (None, "word"), (None, B + " and more"), (3, None)], "doc_id long, text string"
+    )
+    items = spark.createDataFrame([("i", B)], "item_id string, text string")
+    found = {(r.doc, r.n_words): (r.n_hit, r.contaminated, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert found == {
+        (1, 16): (16, True, ["i"]), (1, 4): (0, False, []), (None, 1): (0, False, []), (None, 18): (16, True, ["i"]), (3, 0): (0, False, []),
+    }
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark, folder):
+    near = A + " phi chi"
+    rows = [(7, near, "x"), (1, A, "x"), (1, B, "x"), (None, A, "x"), (None, "some text without any id at all", "x"), (1, B, "x"), (9, B, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = stored(corpus_pipeline.near_duplicates(spark, docs, folder), "out")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(
+        map(str, [(1, A), (1, B), (None, "some text without any id at all")])
+    )
+    unique = spark.createDataFrame([(7, near, "x"), (3, A, "x"), (4, B, "y")], docs.schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, unique, folder).collect()) == [3, 4]
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    mixed = spark.createDataFrame([(1, item, "x"), (1, A, "x"), (None, item, None), (None, B, None)], docs.schema)
+    assert sorted(r.text for r in corpus_pipeline.decontamination(spark, mixed, folder).collect()) == sorted([A, B])
