@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 MARK = "▁"
-CACHE_CHUNKS = 300_000
+#: Entries of the young half of a cache; when it is full it becomes the old half, whose entries come back as they are met.
+CACHE_CHUNKS = 120_000
+CACHE_PAIRS = 250_000
 CACHED_CHARS = 64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -80,7 +82,10 @@ class PieceModel:
         made = set(whole_)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in made), None) for p in whole_}
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str, str, int]] = {}
+        self.older_compatible: dict[tuple[str, str], bool] = {}
+        self.chunks: dict[str, tuple[str, str]] = {}
+        self.older_chunks: dict[str, tuple[str, str]] = {}
+        self.long_chunks: list[str] = []
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging from single characters gives: best score first, leftmost first among equals."""
@@ -111,9 +116,10 @@ class PieceModel:
 
     def _fits(self, pair: tuple[str, str]) -> bool:
         """Whether the first piece may stand directly before the second; found by merging their characters anew."""
-        if len(self.compatible) > 4 * CACHE_CHUNKS:
-            self.compatible.clear()
-        known = self.compatible[pair] = self.merged(pair[0] + pair[1]) == [pair[0], pair[1]]
+        known = self.older_compatible.get(pair)
+        if known is None:
+            known = self.merged(pair[0] + pair[1]) == [pair[0], pair[1]]
+        self.compatible[pair] = known
         return known
 
     def backtracked(self, text: str) -> list[str]:
@@ -154,33 +160,38 @@ class PieceModel:
     def _pieces_of(self, run: str) -> list[str]:
         return self.merged(run) if run.startswith(MARK + MARK) else self.backtracked(run)
 
-    def _encode_chunk(self, chunk: str) -> list[int]:
+    def _made(self, chunk: str) -> tuple[str, str]:
+        """The ids of a chunk as text, and what they decode to inside a text."""
         normal = self.normal
         if self.known.issuperset(chunk):
-            return [normal[p] for p in self._pieces_of(chunk)]
+            pieces = self._pieces_of(chunk)
+            return " ".join([str(normal[p]) for p in pieces]), "".join(pieces).replace(MARK, " ")
         ids: list[int] = []
         for known, group in groupby(chunk, self.known.__contains__):
             run = "".join(group)
             ids.extend([normal[p] for p in self._pieces_of(run)] if known else [self.byte_id[b] for b in run.encode()])
-        return ids
-
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str, int]:
-        """Ids of a chunk, the same ids as text, what they decode to inside a text, and their number."""
-        known = self.chunks.get(chunk)
-        if known is None:
-            ids = tuple(self._encode_chunk(chunk))
-            known = (ids, " ".join(map(str, ids)), self.decode(ids, inside=True), len(ids))
-            if len(chunk) <= CACHED_CHARS:
-                if len(self.chunks) >= CACHE_CHUNKS:
-                    self.chunks.clear()
-                self.chunks[chunk] = known
-        return known
+        return " ".join(map(str, ids)), self.decode(ids, inside=True)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Put every distinct chunk of the texts into ``chunks``; each new one is encoded once."""
+        for chunk in self.long_chunks:
+            self.chunks.pop(chunk, None)
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.older_chunks, self.chunks = self.chunks, {}
+        if len(self.compatible) > CACHE_PAIRS:
+            self.older_compatible, self.compatible = self.compatible, {}
+        new = set().union(*texts).difference(self.chunks)
+        older, made = self.older_chunks.get, self._made
+        self.chunks.update([(chunk, older(chunk) or made(chunk)) for chunk in new])
+        self.long_chunks = [chunk for chunk in new if len(chunk) > CACHED_CHARS]
 
     def chunks_of(self, text: str) -> list[str]:
         return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str | None, end: bool = True) -> list[int]:
-        ids = [i for chunk in self.chunks_of(text or "") for i in self.chunk(chunk)[0]]
+        chunks = self.chunks_of(text or "")
+        self.learn([chunks])
+        ids = [int(i) for chunk in chunks for i in self.chunks[chunk][0].split(" ")]
         return [*ids, self.end_id] if end else ids
 
     def decode(self, ids: Sequence[int], inside: bool = False) -> str:
@@ -279,7 +290,7 @@ def _mapped(docs: DataFrame, text: str, path: str | None, fields: list[StructFie
         types = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
             for part in _in_slices(batch, batch.column("__text")):
-                rows = [row(model, t) for t in part.column("__text").to_pylist()]
+                rows = row(model, part.column("__text").to_pylist())
                 columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], type=t) for t in types]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + columns, [*carried, *names])
 
@@ -289,7 +300,7 @@ def _mapped(docs: DataFrame, text: str, path: str | None, fields: list[StructFie
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, end: bool = True, ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text (``ids``)."""
     field = StructField(ids, ArrayType(IntegerType()))
-    return _mapped(docs, text, path, [field], lambda model, t: (model.encode(t, end),))
+    return _mapped(docs, text, path, [field], lambda model, texts: [(model.encode(t, end),) for t in texts])
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, text: str = "decoded") -> DataFrame:
@@ -307,19 +318,21 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, text: str
     return kept.mapInArrow(run, schema)
 
 
-def _digest(model: PieceModel, text: str | None) -> tuple[int, str, str]:
-    """Number of ids with the end id, hash of the ids as text, hash of the decoded text.
+def _digests(model: PieceModel, texts: list[str | None]) -> list[tuple[int, str, str]]:
+    """Per text the number of ids with the end id, the hash of the ids as text and the hash of the decoded text.
 
     Every chunk after the first starts with a piece that begins with a mark, so byte pieces never run on
     into the next chunk, and the texts of the chunks' ids make up the text of all ids.
     """
-    cuts = model.chunks_of(text or "")
-    parts = list(map(model.chunks.get, cuts))
-    if None in parts:
-        parts = [known or model.chunk(cut) for known, cut in zip(parts, cuts, strict=True)]
-    listed = " ".join([*[p[1] for p in parts], str(model.end_id)])
-    decoded = "".join([p[2] for p in parts])[1:]  # the leading mark goes
-    return sum([p[3] for p in parts]) + 1, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    cuts = [model.chunks_of(t or "") for t in texts]
+    model.learn(cuts)
+    take, end, out = model.chunks.__getitem__, str(model.end_id), []
+    for chunks in cuts:
+        parts = list(map(take, chunks))
+        listed = " ".join([*[p[0] for p in parts], end])
+        decoded = "".join([p[1] for p in parts])[1:]  # the leading mark goes
+        out.append((listed.count(" ") + 1, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    return out
 
 
 def round_trip_digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -327,4 +340,4 @@ def round_trip_digests(docs: DataFrame, text: str = "text", path: str | None = N
     fields = [
         StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()),
     ]
-    return _mapped(docs, text, path, fields, _digest, keep=False)
+    return _mapped(docs, text, path, fields, _digests, keep=False)
