@@ -7,9 +7,9 @@
 5. pieces: the text's number of pieces, and hashes of the ids and of what they decode to.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``, with further columns of
-the input kept. A row without an id is identified by the hash of its text; a null text is an empty one to every
-rule and fails the first stage; repeated rows are near duplicates of each other and one of them stays; an empty
-table passes through as an empty table.
+the input kept. Rows are told apart by id and text: different texts of one id, or without an id, are different
+documents. A null text is an empty one to every rule and fails the first stage; of equal rows, which are near duplicates
+of each other, one stays; an empty table passes through as an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.llm import decontaminate, jaccard, pieces, pii, quality
@@ -29,41 +29,38 @@ POLICY = "v3"
 KEY = "__key"
 
 
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """The rows as one column beside the text, so that no column of an operator can clash with theirs."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Documents whose key is not among ``keys``, which are broadcast only if they were counted to be few."""
-    few = jaccard.few_rows(stored(keys.select(F.col("id").alias("__gone")), "gone"))
-    return docs.withColumn(KEY, _key()).join(few, F.col(KEY) == F.col("__gone"), "left_anti").select(*docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the production policy."""
     return quality.ledger(_rows(docs)).where(quality.passes(POLICY)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of every component of links."""
-    groups = jaccard.jaccard_components(docs.select(_key().alias("key"), "text"), "key", "text")
-    kept = _without(docs, groups.where("component_id <> id").select("id"))
-    keys = docs.select(_key().alias("key"))
-    if keys.groupBy("key").count().where("count > 1").isEmpty():
-        return kept
-    return kept.withColumn(KEY, _key()).dropDuplicates([KEY]).select(*docs.columns)
+    """One document, that with the smallest id, of every component of links; equal rows are one document."""
+    differ = jaccard.ids_differ(docs)
+    found = jaccard.row_components(docs.select("doc_id", "text"), differ)
+    if not differ:  # keys are hashes then, and the smallest key need not have the smallest id
+        first = F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("component")
+        leaders = found.groupBy(F.col("component").alias("group")).agg(first)
+        found = found.withColumnRenamed("component", "group").join(leaders, "group")
+    gone = found.where("component <> key").select(F.col("key").alias("__gone"))
+    few = jaccard.few_rows(stored(gone, "gone"))
+    kept = docs.withColumn(KEY, jaccard.row_key(differ)).join(few, F.col(KEY) == F.col("__gone"), "left_anti")
+    return (kept if differ else kept.dropDuplicates([KEY])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark of ``sf_dir``."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    judged = decontaminate.contamination(docs.select(_key().alias("key"), "text"), items, "key", "text")
-    return _without(docs, judged.where("contaminated").select(F.col("doc").alias("id")))
+    judged = decontaminate.contamination(docs.select("doc_id", "text"), items)
+    gone = judged.where("contaminated").select(F.col("doc").alias("__gone"), F.col("text_hash").alias("__hash"))
+    few = jaccard.few_rows(stored(gone, "gone"))
+    keyed = docs.withColumn(KEY, F.xxhash64("text"))
+    return keyed.join(few, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col(KEY) == F.col("__hash")), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
