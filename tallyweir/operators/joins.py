@@ -52,7 +52,7 @@ def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: b
     """Rows of both sides; each key column is filled from whichever side has it.
 
     A full join cannot be split at a hot key, so both sides should be aggregated to the keys first
-    (as the analyses here do).
+    (as the analyses here do), or joined by :func:`skew_safe_full_join`.
     """
     other = _renamed(right, on)
     joined = left.join(other, _match(left, other, on, null_safe), "full")
@@ -61,6 +61,73 @@ def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: b
     return joined.select(*keys, *rest, *[other[c] for c in right.columns if c not in on])
 
 
+def skew_safe_full_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = True, most_rows: int = 1_000_000
+) -> DataFrame:
+    """:func:`full_join` in which no task reads more than about ``most_rows`` rows of one key from a side.
+
+    Spark can't split a full join at a hot key. Keys with more rows on either side are found by a count; their rows are
+    dealt to several parts, and each meets all parts of the other side. The rows without a partner come from
+    anti-joins with the other side's distinct keys, dealt to the same parts.
+    """
+    known = [f"_k{j}" for j in range(len(on))]
+
+    def sized(df: DataFrame, name: str) -> DataFrame:
+        zero = {"_left": F.lit(0).cast("long"), "_right": F.lit(0).cast("long")}
+        counts = df.groupBy(*[F.col(k).alias(a) for a, k in zip(known, on, strict=True)]).agg(F.count(F.lit(1)).alias(name))
+        return counts.withColumns({c: v for c, v in zero.items() if c != name})
+
+    sizes = sized(left, "_left").unionByName(sized(right, "_right")).groupBy(*known).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+    parts = {"_nl": F.ceil(F.col("_left") / most_rows), "_nr": F.ceil(F.col("_right") / most_rows)}
+    heavy = small_side(sizes.where(F.greatest("_left", "_right") > most_rows).select(*known, *[F.greatest(n, F.lit(1)).cast("int").alias(c) for c, n in parts.items()]))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        """The rows with ``_p{own}``, their own part, and a copy for every part of the other side in ``_p{other}``."""
+        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for a, k in zip(known, on, strict=True)])
+        out = df.join(heavy, match, "left").withColumn(f"_p{own}", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(f"_n{own}", F.lit(1))).cast("int"))
+        return out.withColumn(f"_p{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"_n{other}", F.lit(1)) - 1))).drop(*known, "_nl", "_nr")
+
+    spot = ["_pl", "_pr"]
+    right_ = _renamed(dealt(right, "r", "l"), [*on, *spot])
+    left_ = dealt(left, "l", "r")
+    at = reduce(lambda a, b: a & b, [left_[c] == right_[f"_r_{c}"] for c in spot])
+    both = left_.join(right_, _match(left_, right_, on, null_safe) & at)
+    rest = [c for c in right.columns if c not in on]
+    matched = both.select(*left.columns, *rest)
+
+    def alone(df: DataFrame, others: DataFrame, own: str) -> DataFrame:
+        """Rows of a side without a partner: every part meets the distinct keys of the other side once."""
+        rows = df.join(heavy, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for a, k in zip(known, on, strict=True)]), "left")
+        rows = rows.withColumn("_pl", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(f"_n{own}", F.lit(1))).cast("int")).drop(*known, "_nl", "_nr")
+        keys = others.select(*on).distinct()
+        keys = keys.join(heavy, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for a, k in zip(known, on, strict=True)]), "left")
+        keys = _renamed(keys.withColumn("_pl", F.explode(F.sequence(F.lit(0), F.coalesce(f"_n{own}", F.lit(1)) - 1))).select(*on, "_pl"), [*on, "_pl"])
+        return rows.join(keys, _match(rows, keys, on, null_safe) & (rows["_pl"] == keys["_r__pl"]), "left_anti").drop("_pl")
+
+    return (
+        matched.unionByName(alone(left, right, "l"), allowMissingColumns=True).unionByName(alone(right, left, "r"), allowMissingColumns=True)
+        .select(*on, *[c for c in left.columns if c not in on], *rest)
+    )
+
+
+def in_window_table(
+    rows: DataFrame, windows: DataFrame, date: str, keys: Sequence[str] = (), first: str = "first", last: str = "last", days: int = 32
+) -> DataFrame:
+    """Rows whose date lies in one of the inclusive windows of their key (stock, year, site), each row once.
+
+    Windows are a table of any size: each is listed under the stretches of ``days`` days that it touches, so the join has
+    equal keys and no chain of conditions. Windows without a bound, or that end before they begin, hold no date.
+    """
+    stretch = F.floor(F.unix_date(F.col("_first")) / days), F.floor(F.unix_date(F.col("_last")) / days)
+    spans = windows.select(*[F.col(k).alias(f"_w{j}") for j, k in enumerate(keys)], F.col(first).cast("date").alias("_first"), F.col(last).cast("date").alias("_last"))
+    spans = spans.where("_first <= _last").distinct().withColumn("_stretch", F.explode(F.sequence(*stretch)))
+    dated = rows.withColumn("_at", F.floor(F.unix_date(F.col(date).cast("date")) / days))
+    match = (F.col("_at") == F.col("_stretch")) & F.col(date).cast("date").between(F.col("_first"), F.col("_last"))
+    for j, k in enumerate(keys):
+        match = match & (F.col(k) == F.col(f"_w{j}"))
+    return dated.join(spans, match, "left_semi").drop("_at")
+
+
 def unmatched(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Rows of ``left`` without a partner in ``right``."""
     other = _renamed(right.select(*on), on)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweir.functions.missing import col, ratio, sum_where
 from tallyweir.functions.numbers import round_even
+from tallyweir.operators.reshape import to_wide
 from tallyweir.operators.joins import left_join
 
 # Fixed value: normal quantile of a two-sided 95 % interval.
@@ -128,6 +129,30 @@ def release_recovery_matrix(
     return cells.unionByName(rest)
 
 
+def two_way_table(
+    matrix: DataFrame, columns: Sequence[str], label: Callable[[Column], Column], keys: Sequence[str] = (),
+    never: str = "never", unmarked: str = "unmarked", total: str = "total",
+) -> DataFrame:
+    """The matrix as a table: a row per release week, one of unmarked animals, and both margins.
+
+    ``label`` names a week; ``columns`` lists the recovery weeks, as labels, that get a column of their own, and weeks beside
+    them are only in the margins. The margins come from grouping sets, so the cells are read once. Columns are the
+    keys, ``release``, the listed labels, ``never`` (released, not seen again) and ``total``; empty cells are zero.
+    """
+    kind = F.col("kind")
+    row = F.when(kind == "unmarked", unmarked).otherwise(label(F.col("release_week")))
+    column = F.when(kind == "never", never).otherwise(label(F.col("recover_week")))
+    cells = matrix.where(kind != "unassigned").select(*keys, row.alias("release"), column.alias("_c"), "n")
+    by = [F.col(k) for k in [*keys, "release", "_c"]]
+    own, n = by[: len(keys)], F.sum("n").alias("n")
+    sets = cells.groupingSets([by, [*own, by[-2]], [*own, by[-1]], own], *by).agg(n, F.grouping("release").alias("_gr"), F.grouping("_c").alias("_gc"))
+    named = sets.select(
+        *keys, F.when(F.col("_gr") == 1, total).otherwise(F.col("release")).alias("release"),
+        F.when(F.col("_gc") == 1, total).otherwise(F.col("_c")).alias("_c"), "n",
+    )
+    return to_wide(named, [*keys, "release"], "_c", [*columns, never, total], F.sum("n"), 0.0, other=None)
+
+
 def stratum_totals(matrix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Released and recaptured totals per release week, for the pooling rule."""
     mine = F.col("kind").isin("recovered", "never")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyweir.functions.distributions import student_p
 from tallyweir.functions.missing import col, ratio
+from tallyweir.operators.joins import left_join
+from tallyweir.session import materialise
 
 
 def _moments(x: str, y: str) -> list[Column]:
@@ -167,3 +169,59 @@ def local_smoother(
     det = m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2)
     top = b0 * (m2 * m4 - m3 * m3) - m1 * (b1 * m4 - b2 * m3) + m2 * (b1 * m3 - b2 * m2)
     return fit.select(*keys, "x", ratio(top, det).alias("smooth"))
+
+
+def local_band(
+    df: DataFrame, x: str | Column, y: str | Column, keys: Sequence[str] = (), unit: float = 1.0, span: float = 0.75, grid: int = 80
+) -> DataFrame:
+    """:func:`local_smoother` with its standard error: keys, x, smooth, se, residual_sd, parameters, residual_df.
+
+    The fit at a point is a weighted sum of the observations; the weights follow from the moments of the x cells, and
+    all observations of a cell have the same. With L the matrix of these weights at the observations themselves,
+    ``parameters`` is its trace, ``residual_df`` is n - 2 tr L + tr LL', the residual variance the residual sum of squares
+    over that, and ``se`` the root of the variance times the sum of squared weights at the point. Observations are read once;
+    what is fitted are the cells of a season (days), at the grid and at the cells.
+    """
+    keys = list(keys)
+    cell = F.round(F.col("_x") / F.lit(float(unit))) * F.lit(float(unit))
+    sums = [F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_y").alias("_sy"), F.sum(F.col("_y") * F.col("_y")).alias("_syy")]
+    cells = materialise(_pairs(df, keys, x, y).groupBy(*keys, cell.alias("_x")).agg(*sums))
+    bounds = cells.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_all"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_i")
+    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / float(max(grid - 1, 1))
+    even = bounds.select(*keys, step, "_lo", "_hi").select(*keys, F.lit(True).alias("_even"), at.alias("x"))
+    own = cells.select(*keys, F.lit(False).alias("_even"), F.col("_x").alias("x"))
+    named = {k: f"_p{j}" for j, k in enumerate(keys)}
+    points = left_join(even.unionByName(own), bounds.select(*keys, "_all"), keys) if keys else even.unionByName(own).join(F.broadcast(bounds.select("_all")))
+    same = F.lit(True)
+    for k, other in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    pairs = points.join(cells.withColumnsRenamed(named), same).drop(*named.values()).withColumn("_d", F.abs(F.col("_x") - F.col("x")))
+    point = Window.partitionBy(*keys, "_even", "x")
+    seen = F.sum("_n").over(point.orderBy("_d").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    needed = F.floor(F.col("_all") * F.lit(float(span)) + 1e-5)
+    reach = F.min(F.when(F.col("_seen") >= needed, F.col("_d"))).over(point)
+    near = (
+        pairs.withColumn("_seen", seen).withColumn("_h", reach).where(F.col("_d") < F.col("_h"))
+        .withColumn("_w", F.pow(1 - F.pow(ratio("_d", "_h"), F.lit(3.0)), F.lit(3.0))).withColumn("_c", F.col("_x") - F.col("x"))
+    )
+    w, c, n = F.col("_w"), F.col("_c"), F.col("_n")
+    near = near.withColumns({f"m{k}": F.sum(w * n * F.pow(c, F.lit(float(k)))).over(point) for k in range(5)})
+    m0, m1, m2, m3, m4 = (F.col(f"m{k}") for k in range(5))
+    minors = (m2 * m4 - m3 * m3, m1 * m4 - m2 * m3, m1 * m3 - m2 * m2)
+    det = m0 * minors[0] - m1 * minors[1] + m2 * minors[2]
+    # the weight of one observation of the cell: the first row of the inverse normal equations times (1, c, c * c)
+    near = near.withColumn("_l", w * ratio(minors[0] - minors[1] * c + minors[2] * c * c, det))
+    leverage = F.sum(F.when(F.col("_x") == F.col("x"), F.col("_l")))
+    fits = materialise(near.groupBy(*keys, "_even", "x").agg(
+        F.sum(F.col("_l") * F.col("_sy")).alias("smooth"), F.sum(n * F.col("_l") * F.col("_l")).alias("_norm"), leverage.alias("_own")))
+    at_cells = left_join(fits.where("NOT _even"), cells.withColumnRenamed("_x", "x"), [*keys, "x"])
+    rss = F.sum(F.col("_syy") - 2 * F.col("smooth") * F.col("_sy") + n * F.col("smooth") * F.col("smooth"))
+    season = at_cells.groupBy(*keys).agg(
+        F.greatest(rss, F.lit(0.0)).alias("_rss"), F.sum(n).alias("_total"), F.sum(n * F.col("_own")).alias("parameters"), F.sum(n * F.col("_norm")).alias("_square"))
+    season = season.withColumn("residual_df", F.col("_total") - 2 * F.col("parameters") + F.col("_square"))
+    season = season.withColumn("residual_sd", F.sqrt(ratio("_rss", F.when(F.col("residual_df") > 0, F.col("residual_df")))))
+    curve = fits.where("_even")
+    shown = [*keys, "residual_sd", "parameters", "residual_df"]
+    out = left_join(curve, season.select(*shown), keys) if keys else curve.join(F.broadcast(season.select(*shown)))
+    return out.select(*keys, "x", "smooth", (F.col("residual_sd") * F.sqrt("_norm")).alias("se"), "residual_sd", "parameters", "residual_df")

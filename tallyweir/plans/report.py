@@ -101,6 +101,39 @@ def expected_ages(fish: DataFrame, species: str = "co-w", width: float = 5.0) ->
     return biology.apply_age_length_key(unaged, age_length_key(fish, species, width), "fork_length_mm", "age", width)
 
 
+def _aged_rows(fish: DataFrame, species: str) -> DataFrame:
+    """Animals of a species with a numeric age beside their columns, and only those in use as codes."""
+    rows = fish.where(F.col("species") == species).withColumn("age", blank_to_null("gr_age").try_cast("int"))
+    return rows.where(F.col("age").isin([int(a) for a in AGE_CODES]))
+
+
+def ages_of_unaged(fish: DataFrame, species: str = "co-w", width: float = 5.0, length: str = "fork_length_mm") -> DataFrame:
+    """An age for every unaged animal, from the key of the aged ones."""
+    key = biology.age_length_key(_aged_rows(fish, species), length, "age", width)
+    unaged = fish.where((F.col("species") == species) & blank_to_null("gr_age").isNull() & F.col(length).isNotNull())
+    return biology.assigned_ages(unaged, key, length, "age", width, ["row_label"])
+
+
+def with_growth_correction(fish: DataFrame, species: str = "co-w") -> DataFrame:
+    """Lengths as of the mean day of the season's aged animals (``corrected_length``)."""
+    return biology.growth_corrected(fish, _aged_rows(fish, species), "fork_length_mm", F.dayofyear("date"), "age")
+
+
+def condition_band(fish: DataFrame, keys: Sequence[str] = ("year",)) -> DataFrame:
+    """:func:`condition_over_season` with its standard error."""
+    return regression.local_band(fish, F.dayofyear("date"), "k", keys)
+
+
+def length_by_age_band(fish: DataFrame, shortest: float = 70.0, points: int = 20) -> DataFrame:
+    """The lines of :func:`length_by_age_lines` on an even grid over the dates of each age, with standard errors."""
+    rows = keep_in(fish, "gr_age", AGE_CODES).where(F.col("fork_length_mm") >= shortest)
+    fits = regression.line_fit(rows, F.unix_date("date"), "fork_length_mm", ["gr_age"])
+    span = rows.groupBy("gr_age").agg(F.min(F.unix_date("date")).alias("_lo"), F.max(F.unix_date("date")).alias("_hi"))
+    grid = left_join(fits, span, ["gr_age"]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / float(points - 1)
+    return regression.line_band(grid, at).select("gr_age", "x", "fitted", "se_fitted")
+
+
 def _measured(fish: DataFrame, species: Sequence[str]) -> DataFrame:
     rows = keep_in(fish, "species", species)
     return rows.where((F.col("weight_g") > 0) & (F.col("fork_length_mm") > 0))

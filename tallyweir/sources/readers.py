@@ -85,6 +85,27 @@ def station_series(
     return out
 
 
+def stored_series(
+    spark: SparkSession, path: str, stations: DataFrame | str, start: str | None = None, end: str | None = None,
+    station_col: str = "station_number", date_col: str = "date",
+) -> DataFrame:
+    """Stations of a stored series (:func:`tallyweir.sources.writers.store_series`) between two dates.
+
+    The folders of other stations and years are not listed in the scan. With a table of stations the choice is made at run time.
+    """
+    series = spark.read.parquet(path)
+    years = [(F.col("year") >= F.year(F.lit(start).cast("date"))) if start else None, (F.col("year") <= F.year(F.lit(end).cast("date"))) if end else None]
+    for bound in (b for b in years if b is not None):
+        series = series.where(bound)
+    if isinstance(stations, str):
+        return station_series(series, stations, start, end, station_col, date_col)
+    chosen = stations.select(F.col(station_col).alias("_station")).distinct()
+    out = series.join(chosen, F.col(station_col) == F.col("_station")).drop("_station")
+    if start is not None:
+        out = out.where(F.col(date_col) >= F.lit(start).cast("date"))
+    return out if end is None else out.where(F.col(date_col) <= F.lit(end).cast("date"))
+
+
 def literal_table(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: str) -> DataFrame:
     """Small lookup table typed into the analysis; its size is checked, so it may be broadcast.
 
