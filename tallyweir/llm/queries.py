@@ -58,15 +58,15 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("doc").alias("doc_id"), "n_windows", F.array_join("licenses", ",").alias("licenses"))
 
 
-_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+_TEMPLATE_ROWS = ", ".join("('{}', '{}', '{}')".format(name, text.replace("'", "''"), required) for name, text, required in licenses.TEMPLATES)
 OP2_SQL = r"""
 WITH t AS (
-  SELECT license, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES TEMPLATE_ROWS) AS v(license, text)
+  SELECT license, required, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES TEMPLATE_ROWS) AS v(license, text, required)
 ), ts AS (
-  SELECT DISTINCT license, list_aggregate(w, 'string_agg', ' ') AS part, list_aggregate(w[i:i + 2], 'string_agg', ' ') AS s
+  SELECT DISTINCT license, required, list_aggregate(w, 'string_agg', ' ') AS part, list_aggregate(w[i:i + 2], 'string_agg', ' ') AS s
   FROM t, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS u(i)
-), n AS (SELECT license, part, count(*) AS n FROM ts GROUP BY ALL
+), n AS (SELECT license, part, required, count(*) AS n FROM ts GROUP BY ALL
 ), d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -76,8 +76,10 @@ WITH t AS (
 ), inside AS (
   SELECT doc_id, s, b * 24 AS win FROM ds, unnest([pos // 24 - 1, pos // 24]) AS u(b) WHERE b >= 0 AND pos + 3 <= b * 24 + 48
 ), hit AS (
-  SELECT doc_id, win, license, part, count(DISTINCT s) AS shared FROM inside JOIN ts USING (s) GROUP BY ALL
-), ok AS (SELECT * FROM hit JOIN n USING (license, part) WHERE 100 * shared >= 75 * n
+  SELECT doc_id, win, license, part, required, count(DISTINCT s) AS shared FROM inside JOIN ts USING (s) GROUP BY ALL
+), ok AS (
+  SELECT hit.* FROM hit JOIN n USING (license, part, required) JOIN d USING (doc_id) WHERE 100 * shared >= 75 * n
+    AND (required = '' OR list_bool_and(list_transform(string_split(required, '|'), lambda p: contains(concat(' ', array_to_string(w[win + 1:win + 48], ' '), ' '), concat(' ', p, ' ')))))
 )
 SELECT d.doc_id, CAST(count(DISTINCT CASE WHEN win IS NOT NULL THEN concat(win, ':', part) END) AS BIGINT) AS n_windows, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
 FROM d LEFT JOIN ok USING (doc_id) GROUP BY d.doc_id

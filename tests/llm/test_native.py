@@ -168,22 +168,25 @@ def test_license_versions_limits_and_bodies(spark):
         ("either version 2 of the License, GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ["gpl-2.0"]),
         ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["isc"]),
         ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["mit"]),
-        ("GNU General Public License, version 3, or Apache License, Version 2.0", []), ("CC BY-NC-SA 4.0", ["cc-by-nc-sa-4.0"]), ("CC0 1.0 Universal", ["cc0-1.0"]),
+        ("GNU General Public License, version 3, or Apache License, Version 2.0", ["apache-2.0", "gpl-3.0"]), ("GNU General Public License, version 4", []), ("CC BY-NC-SA 4.0", ["cc-by-nc-sa-4.0"]), ("CC0 1.0 Universal", ["cc0-1.0"]),
     ]
     out = {r.doc: r.licenses for r in licenses.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
     assert out == {i: found for i, (_, found) in enumerate(rows)}
-    assert all(len(ITEM_WORD.findall(t)) <= licenses.STRIDE for _, t in licenses.TEMPLATES)
+    assert all(len(ITEM_WORD.findall(t)) <= licenses.STRIDE for _, t, _ in licenses.TEMPLATES)
 
 
 def test_license_scan(spark):
     word = " filler"
     rows = [
         (1, "x" + word * 40 + " Licensed under the Apache License, Version 2.0." + word * 40), (2, None), (3, ""), (4, "the MIT License"),
-        (5, "Released under the MIT License. " * 200), (None, "licensed UNDER cc by-nc 4.0"), (6, "Licensed under CC BY 4.0"),
+        (5, "Released under the MIT License. " * 200), (None, "licensed UNDER cc by-nc 4.0"), (6, "Licensed under CC BY 4.0"), (8, "SPDX-License-Identifier: GPL-3.0-or-later"), (9, "This tool is licensed under GPLv3."), (10, "CC BY-SA 3.0 and CC BY-NC 4.0"),
         (7, "Permission is hereby granted, free of charge, to any person obtaining one copy of this software and associated documentation files"),
     ]
     out = {r.doc: r.licenses for r in licenses.scan(frame(spark, rows)).collect()}
-    assert out == {1: ["apache-2.0"], 2: [], 3: [], 4: [], 5: ["mit"], None: ["cc-by-nc-4.0"], 6: [], 7: ["mit"]}
+    assert out == {1: ["apache-2.0"], 2: [], 3: [], 4: [], 5: ["mit"], None: ["cc-by-nc-4.0"], 6: ["cc-by-4.0"], 7: ["mit"], 8: ["gpl-3.0"], 9: ["gpl-3.0"], 10: ["cc-by-nc-4.0", "cc-by-sa-3.0"]}
     own = spark.createDataFrame([("two", "only two"), ("none", ""), ("null", None)], "license string, text string")
+    asked = spark.createDataFrame([("a-2", "the a license version 2 of it", "version 2"), ("long", "w " * 30 + "x y z", "x y z|w w")], "license string, text string, required string")
+    texts = frame(spark, [(1, "The A license, version 2 of it"), (2, "The A license, version 3 of it"), (3, "w " * 30 + "x y z")])
+    assert {r.doc: r.licenses for r in licenses.scan(texts, asked).collect()} == {1: ["a-2"], 2: [], 3: ["long"]}
     assert [r.licenses for r in licenses.scan(frame(spark, [(1, "Only two."), (1, "Only two.")]), own).collect()] == [["two"]]
     assert licenses.scan(frame(spark, [])).count() == 0
