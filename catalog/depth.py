@@ -10,7 +10,7 @@ from catalog.registry import query, rounded
 from catalog.sources import scratch_folder
 from catalog.tables import Tables
 from tallyweir.functions import dates
-from tallyweir.operators import joins, recapture
+from tallyweir.operators import joins, profile, recapture
 from tallyweir.plans import marks, report
 from tallyweir.sources import readers, writers
 
@@ -182,3 +182,34 @@ def release_recovery_table(t: Tables) -> DataFrame:
     return rounded(table)
 
 
+
+
+_WIDE = ("site", "species", "gr_age", "a_adclip", "r_adclip", "tag_code", "head_mold_size", "scale_number", "count", "mort", "row_label", "fork_length_mm")
+_DISTINCT = "\nUNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM sv_fish" for c in _WIDE)
+
+
+@query("AGG-23 AGG-07", _DISTINCT)
+def distinct_counts_by_slices(t: Tables) -> DataFrame:
+    """Exact distinct counts of many columns, two hash slices."""
+    return profile.exact_distinct_counts(t.fish, _WIDE, slices=2)
+
+
+_PROFILED = _WIDE[:10]
+
+
+@query(
+    "AGG-23",
+    "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count({c}) AS n_known, count(*) - count({c}) AS n_missing, true AS distinct_within_error,
+        CASE WHEN count(DISTINCT {c}) BETWEEN 1 AND 1000 THEN (SELECT max(n) FROM (SELECT count(*) AS n FROM sv_fish WHERE {c} IS NOT NULL GROUP BY {c})) END AS largest_count FROM sv_fish"""
+        for c in _PROFILED
+    ),
+)
+def column_sketch_profile(t: Tables) -> DataFrame:
+    """Sketches per year, stored by column and merged; the distinct counts are held against the exact ones."""
+    fish = t.fish.select("year", *_PROFILED)
+    merged = profile.merged_profile(profile.column_sketches(fish, _PROFILED, ["year"]), top=1)
+    both = merged.join(profile.exact_distinct_counts(fish, _PROFILED), "column_name")
+    near = F.abs(F.col("n_distinct_approx") - F.col("n_distinct")) <= 4 * profile.DISTINCT_ERROR * F.col("n_distinct") + 1
+    few = F.col("n_distinct").between(1, 1000)
+    return both.select("column_name", "n_known", "n_missing", near.alias("distinct_within_error"), F.when(few, F.col("most_frequent")[0]["count"]).alias("largest_count"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweir.operators import aggregates, biology, joins, recapture, regression
+from tallyweir.operators import aggregates, biology, joins, profile, recapture, regression
 from tallyweir.sources import readers, writers
 from tests.goldens import SEASON_A, matrix_rows
 from tests.oracle import plan
@@ -172,3 +172,21 @@ def test_the_published_table_with_its_margins(spark):
         assert line == [float(v) for v in SEASON_A[i]] and row.total == sum(SEASON_A[i])
     assert [rows["total"][str(j)] for j in range(8)] == [float(sum(line[j] for line in SEASON_A)) for j in range(8)]
     assert rows["total"].total == sum(map(sum, SEASON_A)) and len(rows) == 10
+
+
+def test_sketch_profile_of_a_wide_table(spark):
+    df = spark.range(60_000).select(
+        (F.col("id") % 7).alias("day"), F.col("id").alias("key"), (F.col("id") % 900).cast("string").alias("code"),
+        F.when(F.col("id") % 3 > 0, F.lit(1.5)).alias("half"), F.lit(None).cast("string").alias("void"),
+    )
+    parts = profile.column_sketches(df, keys=["day"])
+    assert parts.count() == 7 * 4
+    rows = {r.column_name: r for r in profile.merged_profile(parts).collect()}
+    exact = {r.column_name: r.n_distinct for r in profile.exact_distinct_counts(df, ["key", "code", "half", "void"], slices=3).collect()}
+    assert exact == {"key": 60_000, "code": 900, "half": 1, "void": 0}
+    for name, n in exact.items():
+        assert abs(rows[name].n_distinct_approx - n) <= 4 * profile.DISTINCT_ERROR * n + 1
+    assert (rows["half"].n_known, rows["half"].n_missing, rows["half"].most_frequent[0]["count"]) == (40_000, 20_000, 40_000)
+    assert {t["count"] for t in rows["code"].most_frequent} == {67} and rows["void"].most_frequent == []
+    assert profile.merged_profile(parts, ["day"]).count() == 28
+    assert "Expand" not in plan(profile.exact_distinct_counts(df, slices=2))
