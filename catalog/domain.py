@@ -11,9 +11,9 @@ from tallyweir.operators import recapture, stratified
 from tallyweir.plans import estimates, marks, tagging
 from tallyweir.session import materialise
 
-# Rates that replace measured ones in the stand-in log; the last two hold for a whole week.
-OVERRIDES = (("18-2", 21, 0.9835979), ("18-5", 23, 1.0), (None, 19, 1.0), (None, 26, 1.0))
-MOLD_KEY = ((None, "<70"), ("10", "70-85"), ("15", "86-115"), ("20", "116-190"))
+# The fixed rates under the codes of the stand-in log; the last two hold for a whole week.
+STAND_IN_CODES = {"18-60-75": "18-2", "18-47-83": "18-5"}
+OVERRIDES = tuple((STAND_IN_CODES.get(code), week, rate) for code, week, rate in tagging.RATE_OVERRIDES)
 
 # ---- classification ---------------------------------------------------------------------
 
@@ -97,7 +97,7 @@ def tag_summary_from_log(t: Tables) -> DataFrame:
       ON s.head_mold_size IS NOT DISTINCT FROM k.mold""",
 )
 def tag_summary_by_mold(t: Tables) -> DataFrame:
-    return tagging.tag_summary_by_mold(t.log, MOLD_KEY)
+    return tagging.tag_summary_by_mold(t.log, tagging.MOLD_KEY)
 
 
 @query(

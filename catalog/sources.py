@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query, rounded
 from catalog.tables import Tables
 from tallyweir.operators.joins import left_join
+from tallyweir.plans import tagging
 from tallyweir.session import ensure_checkpoint_dir
 from tallyweir.sources import readers, schemas, writers
 
@@ -90,10 +91,7 @@ def instrument_export_scan(t: Tables) -> DataFrame:
        GROUP BY 1, 2""",
 )
 def literal_lookup(t: Tables) -> DataFrame:
-    key = readers.literal_table(
-        t.spark, [(None, "<70"), ("10", "70-85"), ("15", "86-115"), ("20", "116-190")],
-        "head_mold_size STRING, length_range_mm STRING",
-    )
+    key = readers.literal_table(t.spark, tagging.MOLD_KEY, "head_mold_size STRING, length_range_mm STRING")
     counts = t.fish.groupBy("head_mold_size").agg(F.count(F.lit(1)).alias("n"))
     return left_join(counts, key, ["head_mold_size"])
 

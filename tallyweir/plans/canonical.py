@@ -66,6 +66,11 @@ def release_site(rule: SeasonRule) -> Column:
     return F.when(moved, rule.transfer_site).when(~moved, F.col("site"))
 
 
+def wild(fish: DataFrame) -> DataFrame:
+    """Wild animals, those recaptured with a clip among them."""
+    return keep_in(fish, "species", WILD_CODES)
+
+
 def canonical_fish(raw: DataFrame, rule: SeasonRule) -> DataFrame:
     """Rows of a season with fate, tag status, release site, calendar keys and condition factor."""
     out = raw
