@@ -90,11 +90,16 @@ def op3_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.ledger(_read(spark, folder, "documents"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "n_lines", "n_exclaimed",
-        F.col("failed_bits").bitwiseAND(F.lit(quality.POLICIES["v2"]).cast("long")).alias("failed_bits"),  # the rules of its SQL
+        (~quality.passes("base")).alias("base_failed"), quality.passes("v3").alias("kept"), "n_lines", "n_exclaimed",
+        "n_bars", "n_bar_words", "n_latin_runs", "latin_chars", "failed_bits",
     )
 
 
+def quality_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """For every policy and rule: documents that fail the rule, and that nothing but the rule keeps out."""
+    return quality.ablations(quality.ledger(_read(spark, folder, "documents")))
+
+
 OP3_SQL = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS body,
@@ -118,17 +123,40 @@ WITH texts AS (
          CAST((length(body) - length(replace(list_aggregate(list_concat([''], w), 'string_agg', ''), '!!', ''))
                - (length(body) - coalesce(length(list_aggregate(w, 'string_agg', '')), 0))) // 2 AS BIGINT) AS n_exclaimed
   FROM texts t LEFT JOIN repeats r USING (doc_id)
+), sum_bars AS (
+  SELECT doc_id, CAST(coalesce(list_sum(list_transform(l, lambda x: CASE
+      WHEN regexp_matches(x, '^[ \t\n\x0B\f\r]*\|[^\n\r\x{85}\x{2028}\x{2029}]*[^| \t\n\x0B\f\r][^\n\r\x{85}\x{2028}\x{2029}]*\|[ \t\n\x0B\f\r]*$')
+      THEN len(list_filter(regexp_extract_all(x, '\|+'), lambda y: y = '|'))
+      ELSE len(list_filter(string_split_regex(x, '[ \t\n\x0B\f\r]+'), lambda y: y = '|')) END)), 0) AS BIGINT) AS n_bars,
+    CAST(len(list_filter(w, lambda y: y = '|')) AS BIGINT) AS n_bar_words,
+    regexp_extract_all(body, '[\x21-\x7E\x{A1}-\x{24F}\x{1E00}-\x{1EFF}]+') AS latin
+  FROM texts
 ), bits AS (
+  SELECT m.*, n_bars, n_bar_words, CAST(len(latin) AS BIGINT) AS n_latin_runs,
+       CAST(coalesce(list_sum(list_transform(latin, lambda x: length(x))), 0) AS BIGINT) AS latin_chars
+  FROM measured m JOIN sum_bars USING (doc_id)
+), judged AS (
   SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
        + (CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_exclaimed > n_words THEN 8 ELSE 0 END)
        + (CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)
-       + (CASE WHEN 2 * n_dup_lines > n_lines AND n_lines >= 4 THEN 32 ELSE 0 END) AS BIGINT) AS failed_bits
-  FROM measured
+       + (CASE WHEN 2 * n_dup_lines > n_lines AND n_lines >= 4 THEN 32 ELSE 0 END)
+       + (CASE WHEN 2 * (n_symbols - n_bars) > n_words - n_bar_words THEN 64 ELSE 0 END)
+       + (CASE WHEN latin_chars > 40 * n_latin_runs AND 2 * latin_chars > word_chars THEN 128 ELSE 0 END) AS BIGINT) AS failed_bits
+  FROM bits
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
-       (failed_bits & 31) = 0 AS kept, n_lines, n_exclaimed, failed_bits
-FROM bits
+       (failed_bits & 203) = 0 AS kept, n_lines, n_exclaimed, n_bars, n_bar_words, n_latin_runs, latin_chars, failed_bits
+FROM judged
 """
+ABLATIONS_SQL = OP3_SQL[: OP3_SQL.rindex("SELECT doc_id, n_words")] + """
+SELECT policy, rule, CAST(count(*) FILTER (WHERE failed_bits & (1 << bit) <> 0) AS BIGINT) AS n_failed,
+       CAST(count(*) FILTER (WHERE failed_bits & mask = 1 << bit) AS BIGINT) AS n_failed_alone
+FROM judged, (VALUES ('base', 3), ('v1', 31), ('v2', 63), ('v3', 203)) AS p(policy, mask),
+     (VALUES (0, 'few_words'), (1, 'repeated_words'), (2, 'symbols'), (3, 'exclamation'), (4, 'long_words'), (5, 'repeated_lines'),
+             (6, 'symbols_off_tables'), (7, 'long_latin_words')) AS r(bit, rule)
+WHERE mask & (1 << bit) <> 0 GROUP BY policy, rule
+"""
+
 
 def op4_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.spans(_read(spark, folder, "documents"))
@@ -332,6 +360,7 @@ QUERIES: dict[str, Run] = {
     "op1_benchmark_overlap": op1_benchmark_overlap,
     "op2_license_scan": op2_license_scan,
     "op3_quality_ledger": op3_quality_ledger,
+    "quality_ablations": quality_ablations,
     "op4_pii_spans": op4_pii_spans,
     "op5_repeated_bytes": op5_repeated_bytes,
     "op6_piece_round_trip": op6_piece_round_trip,
@@ -347,6 +376,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_overlap": OP1_SQL,
     "op2_license_scan": OP2_SQL,
     "op3_quality_ledger": OP3_SQL,
+    "quality_ablations": ABLATIONS_SQL,
     "op9_gram_components": OP9_SQL,
     "op12_merkle_manifest": OP12_SQL,
     "op13_near_vectors": OP13_SQL,
