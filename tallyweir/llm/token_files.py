@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from tallyweir.session import ensure_checkpoint_dir
 
 NO_ID = -(2**63)
-CACHE_WORDS = 300_000
+#: Entries of the young half of a cache; a full one becomes the old half, whose entries come back as they are met.
+CACHE_WORDS = 200_000
 BATCH_CHARS = 4_000_000
 #: Documents and ids that one reading task takes from a part at most (a longer document is a task of its own).
 READ_DOCS, READ_IDS = 50_000, 16_000_000
@@ -78,28 +79,38 @@ class WordEncoder:
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(mark)]] = True
         self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_tokens(self, new: list[str]) -> None:
-        ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
-        if len(stops) != len(new):
+    def _encoded(self, tokens: list[str]) -> list[bytes]:
+        """The ids of the vocabulary's own cuts, encoded in one call and told apart by the pieces that end a word."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(tokens)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+        if len(stops) != len(tokens):
             raise ValueError("the ids of joined words can't be told apart")
-        raw, start = ids.tobytes(), 0
-        for token, stop in zip(new, stops.tolist(), strict=True):
-            self.tokens[token] = raw[start:stop]
-            start = stop
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def _learn_words(self, new: list[str]) -> None:
         plain = [w for w in new if _PLAIN(w)]
-        cuts = [self.cut(w.lower()) for w in plain]
-        if unseen := list(set().union(*cuts).difference(self.tokens)) if cuts else []:
-            self._learn_tokens(unseen)
-        for word, tokens in zip(plain, cuts, strict=True):
-            self.words[word] = b"".join([self.tokens[t] for t in tokens])
+        # most words are one cut; the cuts of all new words go to the library in one call, in order
+        cuts = self.cut(" ".join(plain).lower()) if plain else []
+        if "".join(cuts) != "".join(plain).lower():
+            raise ValueError("the vocabulary's cuts don't cover the words")
+        # a cut that is a word met before has that word's ids; each other one is encoded once
+        ids = {c: self.words.get(c) or self.older.get(c) for c in cuts}
+        if unseen := [c for c, known in ids.items() if known is None]:
+            ids.update(zip(unseen, self._encoded(unseen), strict=True))
+        at = 0
+        for word in plain:
+            n, first = len(cuts[at]), at
+            at += 1
+            while n < len(word):
+                n += len(cuts[at])
+                at += 1
+            self.words[word] = ids[cuts[first]] if at == first + 1 else b"".join([ids[c] for c in cuts[first:at]])
         other = [w for w in new if w not in self.words]
         self.words.update(zip(other, self._library(other), strict=True))
 
@@ -107,11 +118,13 @@ class WordEncoder:
         """The ids of each text as bytes of ``dtype``."""
         special = [any(s in t for s in self.specials) for t in texts]
         split = [[] if odd else t.replace("\n", " ").split(" ") for t, odd in zip(texts, special, strict=True)]
-        for cache in (self.words, self.tokens):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-        if new := list(set().union(*split).difference(self.words)):
-            self._learn_words(new)
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        if new := set().union(*split).difference(self.words):
+            known = new & self.older.keys()
+            self.words.update([(w, self.older[w]) for w in known])
+            if fresh := list(new - known):
+                self._learn_words(fresh)
         take = self.words.__getitem__
         return [self._library([t])[0] if odd else b"".join(map(take, words)) for t, odd, words in zip(texts, special, split, strict=True)]
 
