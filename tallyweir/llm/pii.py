@@ -66,6 +66,11 @@ def phone_digits(match: Column) -> Column:
     return F.char_length(digits_of(match)).between(8, 15)
 
 
+def mixed_characters(match: Column) -> Column:
+    """Whether a value looks made by a machine: a digit, a letter, and at least eight different characters."""
+    return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(match, ""))) >= 8)
+
+
 def always(match: Column) -> Column:
     return F.lit(True)
 
@@ -112,7 +117,7 @@ BASE_KINDS = (
         needs="+", score=0.7, near=("phone", "tel", "call", "mobile", "fax"), against=("score",),
     ),
 )
-#: What the method adds to the base kinds: account numbers with mod-97, and national numbers only beside a word that says so.
+#: What the method adds to the base kinds: account numbers with mod-97, national numbers only beside a word that says so, and secrets.
 ADDED_KINDS = (
     Kind(
         "iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod_97,
@@ -122,6 +127,22 @@ ADDED_KINDS = (
         "ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
         needs="-", score=0.4, near=("ssn", "social", "security"), against=("part", "order"), least=0.5,
     ),
+    # secrets: values of 20 characters or more that are assigned to a name which says so, keys known by their form, key blocks
+    Kind(
+        "secret", r"(?<=[=:]\x20{0,2}[\x22']?|Bearer\x20)[A-Za-z0-9_+-]{20,}+={0,2}", mixed_characters, score=0.4,
+        near=(
+            "token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "client_secret",
+            "access_token", "auth_token", "secret_key", "authorization", "bearer", "credential", "credentials",
+        ),
+        against=("checksum", "sha256", "sha1", "md5", "fingerprint", "digest", "commit"), least=0.5,
+    ),
+    Kind(
+        "key", r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9_-])",
+        score=0.9,
+    ),
+    Kind(
+        "pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----)?", needs="PRIVATE KEY-----", score=0.9,
+    ),
 )
 KINDS = BASE_KINDS + ADDED_KINDS
 

@@ -169,6 +169,7 @@ def op4_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[n(kind) for kind in base],
         F.sha2(pii.listed(F.filter("spans", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda x: F.round(x["score"], 3).cast("string")), ",").alias("scores"),
     )
 
 
