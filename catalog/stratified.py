@@ -178,4 +178,4 @@ def boundary_abundance_intervals(t: Tables) -> DataFrame:
     """Bootstrap limits of the weekly model, which runs to its boundary; random, so checked by coverage in the tests."""
     cells = estimates.candidate_cells(marks.mark_matrix(t.wild), shares=estimates.ROW_SHARES)
     weekly = cells.where(F.col("model_id") == estimates.MODEL_NAMES["full"])
-    return bootstrap.abundance_intervals(weekly, ["iso_year"], replicates=40)
+    return bootstrap.abundance_intervals(weekly, ["iso_year"], replicates=100)
