@@ -20,8 +20,8 @@ task first settles what repeats inside what it holds and passes one row of it on
 of all documents reaches the grouping task as one row per task.
 
 Defined results: a null text is an empty one; texts under LENGTH bytes have no string; repeated rows repeat
-each other; documents are identified by their id, and rows of one id must have one text (a null id: the hash
-of the text); strings overlap freely and are judged on the input; an empty table gives an empty result; other
+each other; rows are told apart by their id, or by a hash of id and text where ids repeat or are null, so that
+different texts of one id are different documents; strings overlap freely and are judged on the input; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweir.llm.jaccard import ids_differ, row_key
 from tallyweir.llm.links import stored
 
 LENGTH = 400
@@ -44,7 +45,7 @@ SEGMENT = 1 << 18
 HELD_ROWS, SLICE_ROWS = 250_000, 256
 #: Parts of a shuffle of packed rows for each of the session's shuffle partitions.
 PARTS = 3
-#: Rows up to which a table of intervals or contexts by document is broadcast, and their bytes; beyond, texts are shuffled.
+#: Rows up to which a table of contexts by document is broadcast, and their MB; beyond, texts are shuffled.
 BROADCAST_ROWS, BROADCAST_MB = 300_000, 64
 
 _BASE = 0x9E3779B97F4A7C15
@@ -116,7 +117,7 @@ def phrases(raw: np.ndarray, length: int = LENGTH, reach: int = REACH) -> Iterat
 
 # One row of a phrase or a string: its group, the hash that must be equal, document, first and last start, and
 # whether it stands for others (then it is not to be reported, or known to be repeated).
-ROW = np.dtype([("group", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("first", "<i8"), ("last", "<i8"), ("known", "?")])
+ROW = np.dtype([("group", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("last", "<i4"), ("known", "?")])
 BLOB = "p int, settled boolean, " + ", ".join(f"{c} binary" for c in ROW.names)
 
 
@@ -210,14 +211,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body)).alias("doc"), F.col(f"`{doc_id}`").alias("id"), body.alias("text"))
+    key = row_key(ids_differ(docs, doc_id), doc_id, text)
+    return docs.select(key.alias("doc"), F.col(f"`{doc_id}`").alias("id"), body.alias("text"))
 
 
-def _beside_texts(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Texts joined with one list per document; the lists are broadcast if they were counted to be few and short."""
+def _few_lists(lists: DataFrame) -> DataFrame:
+    """Lists by document, hinted for broadcast if they were counted to be few and short."""
     few, total = lists.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.size("list"))).first()
-    small = few <= BROADCAST_ROWS and (total or 0) * 40 <= BROADCAST_MB << 20
-    return texts.join(F.broadcast(lists) if small else lists, "doc", how)
+    return F.broadcast(lists) if few <= BROADCAST_ROWS and (total or 0) * 40 <= BROADCAST_MB << 20 else lists
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, reach: int = REACH) -> DataFrame:
@@ -240,7 +241,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, reach: int = REACH)
         for rows in _shared(batches, ("group",)):
             yield from _by_batches(rows, lambda r: {
                 "grp": pa.array(r["group"].view("<i8").copy()), "context": pa.array(r["hash"].view("<i8").copy()), "doc": pa.array(r["doc"].copy()),
-                "first": pa.array(r["first"].copy()), "last": pa.array(r["last"].copy()),
+                "first": pa.array(r["first"].astype(np.int64)), "last": pa.array(r["last"].astype(np.int64)),
             })
 
     packed = texts.select("doc", "text").mapInArrow(parsed, BLOB)
@@ -277,10 +278,10 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, reach: int = REACH)
             fresh[1:] = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["first"][1:] > rows["first"][:-1] + 1)
             start = np.flatnonzero(fresh)
             stop = np.r_[start[1:], len(rows)] - 1 if len(start) else start
-            ranges = np.rec.fromarrays([rows["doc"][start], rows["first"][start], rows["first"][stop] + length], names="doc,first,end")
+            ranges = np.rec.fromarrays([rows["doc"][start], rows["first"][start].astype(np.int64), rows["first"][stop].astype(np.int64) + length], names="doc,first,end")
             yield from _by_batches(ranges, lambda r: {c: pa.array(np.ascontiguousarray(r[c])) for c in ("doc", "first", "end")})
 
-    beside = _beside_texts(texts, lists, "inner").select("doc", "text", "list")
+    beside = texts.join(_few_lists(lists), "doc").select("doc", "text", "list")
     single = beside.mapInArrow(strings, BLOB).repartition(partitions, "p").mapInArrow(shared_strings, "doc long, first long, end long")
     return whole.unionAll(single)
 
@@ -326,4 +327,5 @@ def _applied(docs: DataFrame, doc_id: str, text: str, length: int, reach: int, c
             kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, kind), shown(kept)], ["id", "n_bytes", "removed", column.split()[0]])
 
-    return _beside_texts(texts, by_doc, "left").select("id", "text", "list").mapInArrow(run, f"id {id_type}, n_bytes long, removed array<struct<first:long,end:long>>, {column}")
+    # ranges grow with the corpus, so the texts meet them by a shuffle at every size
+    return texts.join(by_doc.hint("merge"), "doc", "left").select("id", "text", "list").mapInArrow(run, f"id {id_type}, n_bytes long, removed array<struct<first:long,end:long>>, {column}")
