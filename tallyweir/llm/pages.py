@@ -8,9 +8,11 @@ node of a reference, the pages aligned with it vote: a node whose own text is th
 have it is template, every other node, and everything that matches no node, is a slot. Pages of one content have
 one vote together. If the template would take most of what the voting pages hold, they are near copies of one
 text and nothing tells wrapper from content: then nothing is template. The text of a page is what its slots
-hold, without the parts whose element or class names another role (menus, forms, notices, comments, adverts ...).
-If there is an article element outside such parts, its text is all that it holds but for such parts; its pages
-need no template and don't vote.
+hold, without the parts whose element or class names another role (menus, forms, notices, comments, adverts ...),
+inline ones included. An article element outside such parts is evidence, not a switch: the text is then what it holds, its
+pages vote like all others, and a node inside it is template only if nearly all of many pages (ARTICLE_PERCENT,
+ARTICLE_PAGES) agree on it. Of several articles those whose headings are all links are teasers, if another one has a
+heading of its own.
 
 The votes are sums per reference and node, added up in the tasks first, so a host with a third of all pages is
 only a larger count. The references are broadcast after their size is checked, and joined by host otherwise.
@@ -44,6 +46,8 @@ from tallyweir.llm.links import stored
 BROADCAST_BYTES = 64 << 20
 #: A node is template if at least this share of the pages that have it agree on its text, and at least so many pages have it.
 AGREE_PERCENT, LEAST_PAGES = 90, 5
+#: The same for a node inside an article, where a text may well be content that some pages share.
+ARTICLE_PERCENT, ARTICLE_PAGES = 99, 20
 #: A layout is frequent if it has LEAST_PAGES pages and this share of its host's; the most frequent layout always is.
 LAYOUT_PERCENT = 1
 #: Largest share of the voting pages' text that may be template.
@@ -62,8 +66,12 @@ ROLE_WORDS = frozenset(
     "nav-menu nav-bar main-nav main-menu main-navigation site-nav site-navigation primary-menu primary-nav post-navigation menu-item nav-links "
     "site-header site-footer page-footer footer-widgets sidebar-primary widget-area cookie-banner cookie-notice cookie-bar cookie-consent "
     "ad-banner ad-container ad-slot ad-wrapper share-buttons social-share social-links related-posts related-articles comment-list comments-area "
-    "comment-form comment-respond newsletter-signup search-form skip-link login-form popup-overlay".split()
+    "comment-form comment-respond newsletter-signup search-form skip-link login-form popup-overlay related-stories more-stories recommended "
+    "comment-thread thread reader-comments user-comments share-links share-bar ad-label ad-unit advertisement-label sponsored-content".split()
 )
+#: Names for which an inline element is left out; others of these names (a comment in highlighted code) are content there.
+INLINE_ROLE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo share sharing social ad-label ad-unit share-link share-links share-buttons social-share skip-link".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose names say nothing about their role: themes write the state of the page there.
 NAMELESS = frozenset("html body main article".split())
 MAIN_NAMES = frozenset("main main-content maincontent site-main".split())
@@ -74,7 +82,8 @@ CLOSES_P = frozenset(
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
@@ -107,16 +116,31 @@ class Node:
         return by_name and bool(self.names & ROLE_WORDS)
 
 
+def names_of(rest: str) -> frozenset[str]:
+    """Words of class, id, role and itemprop of a tag, and a mark if the element is not shown."""
+    words: list[str] = []
+    for a in ATTRIBUTE.finditer(rest):
+        kind, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+        if kind == "hidden":
+            words.append(HIDDEN if a[2] is None and a[3] is None and a[4] is None else "")
+        elif kind == "style":
+            words.append(HIDDEN if UNSEEN.search(value) else "")
+        else:
+            words += value.split()
+    return frozenset(w for w in words if w)
+
+
 def parse(html: str) -> Node:
-    """The tree of a page."""
+    """The tree of a page. Inline elements of another role, or not shown, leave no text."""
     root = Node("#root")
     stack = [root]
     at, n = 0, len(html)
     links = 0
     pieces: list[str] = []
+    muted: list[str] = []  # the open inline elements without text: an odd one and those of its tag inside
 
     def put(text: str) -> None:
-        if text:
+        if text and not muted:
             pieces.append(text)
             if links:
                 stack[-1].link_chars += len(text)
@@ -161,7 +185,15 @@ def parse(html: str) -> Node:
             put(" ")
             continue
         if tag in INLINE:
+            if muted:
+                if tag == muted[0]:
+                    muted.pop() if closing else muted.append(tag)
+            elif not closing and tag not in VOID and ("=" in rest or "hidden" in rest) and not rest.rstrip().endswith("/"):
+                names = names_of(rest)
+                if HIDDEN in names or names & INLINE_ROLE_WORDS:
+                    muted.append(tag)
             continue
+        muted.clear()  # an inline element ends with its block at the latest
         settle()
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -180,15 +212,7 @@ def parse(html: str) -> Node:
         if tag in CLOSED_BY:
             while len(stack) > 1 and stack[-1].tag in CLOSED_BY[tag] | {"p"}:
                 stack.pop()
-        names = frozenset()
-        if "=" in rest or "hidden" in rest:
-            words = []
-            for a in ATTRIBUTE.finditer(rest):
-                if a[1].lower() == "hidden":
-                    words.append(HIDDEN if a[2] is None and a[3] is None and a[4] is None else "")
-                else:
-                    words += (a[2] or a[3] or a[4] or "").lower().split()
-            names = frozenset(w for w in words if w)
+        names = names_of(rest) if "=" in rest or "hidden" in rest else frozenset()
         node = Node(tag, names)
         stack[-1].content.append(node)
         if RAW.match(found[0]):
@@ -337,6 +361,17 @@ def contents(regions: list[Node]) -> Iterator[Node]:
         todo.extend((c, inside) for c in reversed(node.children()) if not c.apart(inside))
 
 
+def _own_heading(article: Node) -> bool | None:
+    """Whether an article has a heading that is not a link; None without headings."""
+    kinds = [2 * n.link_chars > len(n.own_text()) for n in nodes(article) if n.tag in HEADINGS and n.own_text()]
+    return not all(kinds) if kinds else None
+
+
+def _without_teasers(articles: list[Node]) -> list[Node]:
+    own = [_own_heading(a) for a in articles] if len(articles) > 1 else []
+    return [a for a, known in zip(articles, own, strict=True) if known is not False] if True in own else articles
+
+
 def _regions(root: Node) -> list[Node]:
     """The outermost article elements outside of other parts, else the main element, else the whole page.
 
@@ -345,9 +380,9 @@ def _regions(root: Node) -> list[Node]:
     """
     for wanted in ("article", "main"):
         if found := _outermost(root, wanted, True):
-            return found
+            return _without_teasers(found)
         if (found := _outermost(root, wanted, False)) and 2 * _chars(found) > _chars([root]):
-            return found
+            return _without_teasers(found)
     return [root]
 
 
@@ -355,7 +390,7 @@ def blocks(page: Node, template: set[int]) -> list[str]:
     """The texts of the page's content blocks in page order; ``template`` has the places of template nodes."""
     regions = _regions(page)
     whole_page = regions == [page]
-    if in_article(regions) or not any(n.own_text() for n in contents(regions) if n.place not in template):
+    if not any(n.own_text() for n in contents(regions) if n.place not in template):
         template = set()
     out: list[str] = []
     buffer: list[str] = []
@@ -381,9 +416,7 @@ def blocks(page: Node, template: set[int]) -> list[str]:
                 flush()
                 continue
             flush()
-            own = part.own_text()
-            links_only = whole_page and own and 2 * part.link_chars > len(own)
-            mute = part.place in template or links_only
+            mute = part.place in template
             todo.append(None)
             for c in reversed(part.content):
                 if isinstance(c, str):
@@ -447,12 +480,12 @@ class References:
 
 
 def _references(hosted: DataFrame) -> DataFrame:
-    """(host, shape, reference): a page of every frequent layout of each host, without pages that have an article."""
+    """(host, shape, reference): a page of every frequent layout of each host."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trees = [parse(h) for h in batch.column("html").to_pylist()]
-            found = [frozenset() if in_article(_regions(t)) else layout(t) for t in trees]
+            found = [layout(t) for t in trees]
             rows = batch.append_column("shape", pa.array([shape_of(f) if f else None for f in found], pa.int64())).drop_columns(["html"])
             yield rows.filter(pc.is_valid(rows.column("shape")))
 
@@ -483,9 +516,10 @@ def wrappers(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             for host, source, refs in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "refs")), strict=True):
                 page = measured(parse(source))
                 regions = _regions(page)
-                nearest = None if in_article(regions) else known.best(host, refs, layout(page))
+                nearest = known.best(host, refs, layout(page))
                 if nearest is None:
                     continue
+                strict = in_article(regions)
                 shape, reference, _, theirs, _ = nearest
                 pairs = align(page, reference)
                 own = [(n.place, n.own_text()) for n in contents(regions)]
@@ -495,17 +529,18 @@ def wrappers(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 out["content"].append(blake2b(texts.encode(errors="replace"), digest_size=16).digest())
                 out["chars"].append(sum(len(t) for _, t in own))
                 placed = ((pairs.get(place), t) for place, t in own)
-                out["votes"].append([(at, len(t) if t == theirs[at] else 0) for at, t in placed if at is not None and theirs[at]])
+                out["votes"].append([(at, len(t) if t == theirs[at] else 0, strict) for at, t in placed if at is not None and theirs[at]])
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    vote_type = pa.list_(pa.struct([("place", pa.int32()), ("same", pa.int32())]))
+    vote_type = pa.list_(pa.struct([("place", pa.int32()), ("same", pa.int32()), ("strict", pa.bool_())]))
     schema = pa.schema([("host", pa.string()), ("shape", pa.int64()), ("content", pa.binary()), ("chars", pa.int64()), ("votes", vote_type)])
     paired = _with_references(hosted.where("html IS NOT NULL"), references).select("host", "html", "refs")
-    cast = paired.mapInArrow(vote, "host string, shape long, content binary, chars long, votes array<struct<place: int, same: int>>")
+    cast = paired.mapInArrow(vote, "host string, shape long, content binary, chars long, votes array<struct<place: int, same: int, strict: boolean>>")
     once = stored(cast.groupBy("host", "shape", "content").agg(F.min(F.struct("chars", "votes")).alias("v")).select("host", "shape", "v.*"), "votes")
     each = once.select("host", "shape", F.explode("votes").alias("v")).select("host", "shape", "v.*")
-    votes = each.groupBy("host", "shape", "place").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("same") > 0).alias("agreed"), F.sum("same").alias("same"))
-    fixed = votes.where((F.col("pages") >= LEAST_PAGES) & (100 * F.col("agreed") >= AGREE_PERCENT * F.col("pages")))
+    votes = each.groupBy("host", "shape", "place").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("same") > 0).alias("agreed"), F.sum("same").alias("same"), F.max("strict").alias("strict"))
+    least, share = (F.when(F.col("strict"), strict).otherwise(plain) for strict, plain in ((ARTICLE_PAGES, LEAST_PAGES), (ARTICLE_PERCENT, AGREE_PERCENT)))
+    fixed = votes.where((F.col("pages") >= least) & (100 * F.col("agreed") >= share * F.col("pages")))
     by_shape = fixed.groupBy("host", "shape").agg(F.to_json(F.sort_array(F.collect_list("place"))).alias("template"), F.sum("same").alias("same"))
     held = once.groupBy("host", "shape").agg(F.sum("chars").alias("chars"))
     some = by_shape.join(held, ["host", "shape"]).where(100 * F.col("same") <= TEMPLATE_PERCENT * F.col("chars"))
@@ -526,7 +561,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             out = []
             for host, markup, refs in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "refs")), strict=True):
                 page = measured(parse(markup or ""))
-                nearest = None if in_article(_regions(page)) else known.best(host, refs, layout(page))
+                nearest = known.best(host, refs, layout(page))
                 same: set[int] = set()
                 if nearest and (fixed := set(json.loads(nearest[4]["template"] or "[]"))):
                     pairs, theirs = align(page, nearest[1]), nearest[3]
