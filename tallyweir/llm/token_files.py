@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweir.llm.cells import code_points, distinct, laid_out
 from tallyweir.session import ensure_checkpoint_dir
 
 NO_ID = -(2**63)
@@ -45,18 +46,22 @@ BATCH_CHARS = 4_000_000
 #: Documents and ids that one reading task takes from a part at most (a longer document is a task of its own).
 READ_DOCS, READ_IDS = 50_000, 16_000_000
 
-# Texts in which the library's normalisation is lower-casing alone and its white space is blank or newline.
-_PLAIN = re.compile("[\x21-\x7e\xa1-įı-ɏ]+").fullmatch
+# Words in which the library's normalisation is lower-casing alone; its white space is blank or newline for them.
+_PLAIN = re.compile("[\x21-\x7e\xa1-įı-ɏ]").fullmatch
+#: The vocabulary's cuts that are known here: these endings, runs of letters, single numerals, runs of other characters.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+_BLANK, _LETTER, _NUMERAL, _OTHER, _ODD = range(5)
+_CHARACTERS = 0x110000
 
 
 class WordEncoder:
-    """Ids of a ``tokenizers`` vocabulary with word ends, from the library, with a cache by word.
+    """Ids of a ``tokenizers`` vocabulary with word ends, from the library, with a cache by cut.
 
-    The library cuts texts at white space and never merges across a cut, so a text's ids are those of its
-    words. Words seen before come from a bounded cache; new ones are cut by the vocabulary's own pattern and
-    encoded in one call, whose ids are told apart by the pieces that end a word. Words with characters that
-    the library's normalisation may change go to the library one by one, and a text that may hold a special
-    token goes there whole.
+    The library cuts texts at white space and by the vocabulary's pattern and never merges across a cut, so a
+    text's ids are those of its cuts. The cuts of a batch are found at once from the classes of its characters;
+    each distinct one that is not in the bounded cache is encoded by the library's model. Words with characters that the library's normalisation may change, and all words
+    of a vocabulary with another pattern, go to the library whole, and so does a text that may hold a special token.
     """
 
     def __init__(self, path: str):
@@ -66,67 +71,94 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         spec = json.loads(open(path, encoding="utf-8").read())
         self.library = tokenizers.Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab()
-        self.size = max(vocabulary.values()) + 1
+        self.size = max(self.library.get_vocab().values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.specials = [t["content"] for t in spec["added_tokens"]]
         mark = spec["model"].get("end_of_word_suffix")
-        cutter = next(s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
+        cutter, *spelling = spec["pre_tokenizer"]["pretokenizers"]
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if not mark or steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("not a vocabulary of lower-case words with word ends")
-        self.cut = regex.compile(cutter).findall
-        self.ends = np.zeros(self.size, dtype=bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(mark)]] = True
+        self.kinds = np.full(_CHARACTERS, _ODD, np.uint8)
+        self.kinds[[ord(" "), ord("\n")]] = _BLANK
+        self.lower = np.arange(_CHARACTERS, dtype="<u4")
+        self.spelt: dict[int, str] = {}
+        known = cutter["type"] == "Split" and cutter["pattern"].get("Regex") == _CUTS and cutter["invert"] and cutter["behavior"] == "Removed"
+        if known and [(s["type"], s.get("add_prefix_space"), s.get("use_regex")) for s in spelling] == [("ByteLevel", False, False)]:
+            speller = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            for c in filter(_PLAIN, map(chr, range(0x250))):
+                low = c.lower()
+                self.lower[ord(c)] = ord(low)
+                self.spelt[ord(low)] = speller.pre_tokenize_str(low)[0][0]
+                self.kinds[ord(c)] = _LETTER if regex.fullmatch(r"\p{L}", low) else _NUMERAL if regex.fullmatch(r"\p{N}", low) else _OTHER
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, tokens: list[str]) -> list[bytes]:
-        """The ids of the vocabulary's own cuts, encoded in one call and told apart by the pieces that end a word."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(tokens)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-        if len(stops) != len(tokens):
-            raise ValueError("the ids of joined words can't be told apart")
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *stops], stops)]
-
-    def _learn_words(self, new: list[str]) -> None:
-        plain = [w for w in new if _PLAIN(w)]
-        # most words are one cut; the cuts of all new words go to the library in one call, in order
-        cuts = self.cut(" ".join(plain).lower()) if plain else []
-        if "".join(cuts) != "".join(plain).lower():
-            raise ValueError("the vocabulary's cuts don't cover the words")
-        # a cut that is a word met before has that word's ids; each other one is encoded once
-        ids = {c: self.words.get(c) or self.older.get(c) for c in cuts}
-        if unseen := [c for c, known in ids.items() if known is None]:
-            ids.update(zip(unseen, self._encoded(unseen), strict=True))
-        at = 0
-        for word in plain:
-            n, first = len(cuts[at]), at
-            at += 1
-            while n < len(word):
-                n += len(cuts[at])
-                at += 1
-            self.words[word] = ids[cuts[first]] if at == first + 1 else b"".join([ids[c] for c in cuts[first:at]])
-        other = [w for w in new if w not in self.words]
-        self.words.update(zip(other, self._library(other), strict=True))
+    def _encoded(self, cuts: list[str]) -> Iterator[bytes]:
+        """The ids of the vocabulary's own cuts, from the library's model; the steps before it change only their spelling."""
+        tokenize, spelt, width = self.library.model.tokenize, self.spelt, self.dtype.itemsize
+        for start in range(0, len(cuts), 10_000):
+            part = [tokenize(cut if cut.isascii() else cut.translate(spelt)) for cut in cuts[start : start + 10_000]]
+            raw = np.array([t.id for tokens in part for t in tokens], dtype=self.dtype).tobytes()
+            stops = (np.cumsum([len(tokens) for tokens in part]) * width).tolist()
+            yield from (raw[a:b] for a, b in zip([0, *stops], stops))
+
+    def _learn(self, cuts: list[str], odd: list[bool]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        new = [(cut, whole) for cut, whole in zip(cuts, odd, strict=True) if cut not in words]
+        words.update([(cut, older[cut]) for cut, _ in new if cut in older])
+        if plain := [cut for cut, whole in new if not whole and cut not in older]:
+            words.update(zip(plain, self._encoded(plain), strict=True))
+        if other := [cut for cut, whole in new if whole and cut not in older]:
+            words.update(zip(other, self._library(other), strict=True))
+
+    def _starts(self, points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Where cuts start, among characters that are no blanks; ``points`` are lower-cased."""
+        starts = np.ones(len(points), bool)
+        starts[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _NUMERAL)
+        quotes = np.flatnonzero((points == ord("'")) & starts & (kinds == _OTHER))
+        after = np.append(points, np.zeros(2, points.dtype))
+        for ending in _ENDINGS:
+            fits = quotes
+            for k, c in enumerate(ending, 1):
+                fits = fits[after[fits + k] == ord(c)]
+            # an ending in a word that goes to the library whole is no cut of its own
+            fits = fits[kinds[np.minimum(fits + 1, len(points) - 1)] == _LETTER]
+            starts[fits + 1] = False
+            stops = fits + 1 + len(ending)
+            starts[stops[stops < len(points)]] = True
+        return starts
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
         special = [any(s in t for s in self.specials) for t in texts]
-        split = [[] if odd else t.replace("\n", " ").split(" ") for t, odd in zip(texts, special, strict=True)]
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {}
-        if new := set().union(*split).difference(self.words):
-            known = new & self.older.keys()
-            self.words.update([(w, self.older[w]) for w in known])
-            if fresh := list(new - known):
-                self._learn_words(fresh)
-        take = self.words.__getitem__
-        return [self._library([t])[0] if odd else b"".join(map(take, words)) for t, odd, words in zip(texts, special, split, strict=True)]
+        points, text_at = code_points(["" if whole else t for t, whole in zip(texts, special, strict=True)], "\n")
+        kinds = self.kinds[points]
+        blank = kinds == _BLANK
+        odd = np.flatnonzero(kinds == _ODD)
+        lower = self.lower[points]
+        if len(odd):
+            word = np.cumsum(blank)
+            whole = np.zeros(int(word[-1]) + 1, bool)
+            whole[word[odd]] = True
+            within = whole[word] & ~blank
+            kinds[within] = _ODD
+            lower[within] = points[within]
+        starts = self._starts(lower, kinds) & ~blank
+        first = np.flatnonzero(starts)
+        filled = ~blank
+        codes, cuts = distinct(lower[filled], np.flatnonzero(starts[filled]))
+        odd_cuts = np.zeros(len(cuts), bool)
+        odd_cuts[codes.to_numpy()[kinds[first] == _ODD]] = True
+        self._learn(cuts, odd_cuts.tolist())
+        ids, offsets = laid_out([self.words[cut] for cut in cuts], codes)
+        ends = offsets[np.append(np.searchsorted(first, text_at), len(first))].tolist()
+        return [self._library([t])[0] if whole else bytes(ids[a:b]) for t, whole, a, b in zip(texts, special, ends, ends[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
