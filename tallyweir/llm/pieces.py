@@ -7,9 +7,10 @@ the two pieces' characters from scratch gives back exactly these two, else try t
 go back one piece. Positions from which no compatible continuation exists are marked in a bitfield and not
 tried again. Each compatibility is found once by re-merging and kept.
 
-Chunks are cut before every space mark that follows another character: no piece holds such a place inside,
-so merges never cross it and the encodings of the chunks are the encoding of the text. Distinct chunks are
-few and are kept in a bounded cache. Runs of several space marks are merged directly, because the pieces
+Chunks are cut wherever two neighbouring characters stand side by side in no piece, so before every space
+mark that follows another character and mostly between letters, digits and punctuation: merges never cross
+such a place, so the encodings of the chunks are the encoding of the text. The chunks of a batch are found at
+once from a table of neighbours; distinct ones are few and are kept in a bounded cache. Runs of several space marks are merged directly, because the pieces
 made of marks alone have equal scores, for which the compatibility of neighbours does not decide.
 
 Characters outside the vocabulary become one piece per UTF-8 byte and never merge.
@@ -23,24 +24,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from tallyweir.llm.cells import code_points, distinct, laid_out
+
 MARK = "▁"
 #: Entries of the young half of a cache; when it is full it becomes the old half, whose entries come back as they are met.
 CACHE_CHUNKS = 120_000
 CACHE_PAIRS = 250_000
 CACHED_CHARS = 64
 BATCH_BYTES = 4 << 20
-
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Characters that the table of neighbours tells apart; further ones share its last row, which only makes chunks longer.
+TOLD_APART = 4096
 
 
 class PieceModel:
@@ -83,8 +86,17 @@ class PieceModel:
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in made), None) for p in whole_}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.older_compatible: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[str, str]] = {}
-        self.older_chunks: dict[str, tuple[str, str]] = {}
+        # Row 0 is that of characters outside the vocabulary, which stand alone.
+        rows = {c: min(i, TOLD_APART) for i, c in enumerate(sorted(alphabet), 1)}
+        self.rows = np.zeros(0x110000, np.int32)
+        self.rows[[ord(c) for c in rows]] = list(rows.values())
+        self.width = max(rows.values(), default=0) + 1
+        self.neighbours = np.zeros(self.width * self.width, bool)
+        pairs = {pair for piece in self.normal for pair in zip(piece, piece[1:])}
+        self.neighbours[[rows[a] * self.width + rows[b] for a, b in pairs if a in rows and b in rows]] = True
+        #: Of each chunk the ids as text, each with a blank after it, what they decode to inside a text, and their number.
+        self.chunks: dict[str, tuple[bytes, bytes, int]] = {}
+        self.older_chunks: dict[str, tuple[bytes, bytes, int]] = {}
         self.long_chunks: list[str] = []
 
     def merged(self, text: str) -> list[str]:
@@ -160,38 +172,47 @@ class PieceModel:
     def _pieces_of(self, run: str) -> list[str]:
         return self.merged(run) if run.startswith(MARK + MARK) else self.backtracked(run)
 
-    def _made(self, chunk: str) -> tuple[str, str]:
-        """The ids of a chunk as text, and what they decode to inside a text."""
+    def _made(self, chunk: str) -> tuple[bytes, bytes, int]:
         normal = self.normal
         if self.known.issuperset(chunk):
             pieces = self._pieces_of(chunk)
-            return " ".join([str(normal[p]) for p in pieces]), "".join(pieces).replace(MARK, " ")
+            return "".join([f"{normal[p]} " for p in pieces]).encode(), "".join(pieces).replace(MARK, " ").encode(), len(pieces)
         ids: list[int] = []
         for known, group in groupby(chunk, self.known.__contains__):
             run = "".join(group)
             ids.extend([normal[p] for p in self._pieces_of(run)] if known else [self.byte_id[b] for b in run.encode()])
-        return " ".join(map(str, ids)), self.decode(ids, inside=True)
+        return "".join([f"{i} " for i in ids]).encode(), self.decode(ids, inside=True).encode(), len(ids)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Put every distinct chunk of the texts into ``chunks``; each new one is encoded once."""
+    def learn(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
+        """What is kept of each of these distinct chunks; each new one is encoded once."""
         for chunk in self.long_chunks:
             self.chunks.pop(chunk, None)
         if len(self.chunks) > CACHE_CHUNKS:
             self.older_chunks, self.chunks = self.chunks, {}
         if len(self.compatible) > CACHE_PAIRS:
             self.older_compatible, self.compatible = self.compatible, {}
-        new = set().union(*texts).difference(self.chunks)
+        new = [chunk for chunk in chunks if chunk not in self.chunks]
         older, made = self.older_chunks.get, self._made
         self.chunks.update([(chunk, older(chunk) or made(chunk)) for chunk in new])
         self.long_chunks = [chunk for chunk in new if len(chunk) > CACHED_CHARS]
-
-    def chunks_of(self, text: str) -> list[str]:
-        return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+        return [self.chunks[chunk] for chunk in chunks]
+
+    def chunks_of(self, texts: list[str]) -> tuple[pa.Array, list[str], np.ndarray]:
+        """The code of every chunk of the texts, the chunk of every code, and where each text's chunks begin, then the end."""
+        points, text_at = code_points([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+        rows = self.rows[points]
+        pairs = rows[:-1] * self.width
+        pairs += rows[1:]
+        starts = np.ones(len(points), bool)
+        starts[1:] = ~self.neighbours[pairs]
+        starts[text_at[text_at < len(points)]] = True
+        first = np.flatnonzero(starts)
+        return *distinct(points, first), np.append(np.searchsorted(first, text_at), len(first))
 
     def encode(self, text: str | None, end: bool = True) -> list[int]:
-        chunks = self.chunks_of(text or "")
-        self.learn([chunks])
-        ids = [int(i) for chunk in chunks for i in self.chunks[chunk][0].split(" ")]
+        codes, chunks, _ = self.chunks_of([text or ""])
+        raw, _ = laid_out([ids for ids, _, _ in self.learn(chunks)], codes)
+        ids = [int(i) for i in bytes(raw).split()]
         return [*ids, self.end_id] if end else ids
 
     def decode(self, ids: Sequence[int], inside: bool = False) -> str:
@@ -321,17 +342,20 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, text: str
 def _digests(model: PieceModel, texts: list[str | None]) -> list[tuple[int, str, str]]:
     """Per text the number of ids with the end id, the hash of the ids as text and the hash of the decoded text.
 
-    Every chunk after the first starts with a piece that begins with a mark, so byte pieces never run on
-    into the next chunk, and the texts of the chunks' ids make up the text of all ids.
+    A chunk holds whole characters, so byte pieces never run on into the next chunk, and what its chunks' ids
+    decode to makes up the text of all ids.
     """
-    cuts = [model.chunks_of(t or "") for t in texts]
-    model.learn(cuts)
-    take, end, out = model.chunks.__getitem__, str(model.end_id), []
-    for chunks in cuts:
-        parts = list(map(take, chunks))
-        listed = " ".join([*[p[0] for p in parts], end])
-        decoded = "".join([p[1] for p in parts])[1:]  # the leading mark goes
-        out.append((listed.count(" ") + 1, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    codes, chunks, text_at = model.chunks_of([t or "" for t in texts])
+    kept = model.learn(chunks)
+    ids, id_at = laid_out([k[0] for k in kept], codes)
+    decoded, decoded_at = laid_out([k[1] for k in kept], codes)
+    counts = np.append(0, np.cumsum(np.array([k[2] for k in kept], np.int64)[codes.to_numpy()]))
+    bounds = [x[text_at].tolist() for x in (counts, id_at, decoded_at)]
+    end, out = str(model.end_id).encode(), []
+    for (n, m), (a, b), (c, d) in zip(*[zip(x, x[1:]) for x in bounds], strict=True):
+        listed = hashlib.sha256(ids[a:b])
+        listed.update(end)
+        out.append((m - n + 1, listed.hexdigest(), hashlib.sha256(decoded[min(c + 1, d) : d]).hexdigest()))  # the leading mark goes
     return out
 
 
