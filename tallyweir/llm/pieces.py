@@ -41,7 +41,8 @@ MARK = "▁"
 CACHE_CHUNKS = 120_000
 CACHE_PAIRS = 250_000
 CACHED_CHARS = 64
-BATCH_BYTES = 4 << 20
+#: Text that is turned into chunks at a time; the arrays made of it take about 25 times as much.
+BATCH_BYTES = 1 << 20
 #: Characters that the table of neighbours tells apart; further ones share its last row, which only makes chunks longer.
 TOLD_APART = 4096
 
@@ -94,9 +95,9 @@ class PieceModel:
         self.neighbours = np.zeros(self.width * self.width, bool)
         pairs = {pair for piece in self.normal for pair in zip(piece, piece[1:])}
         self.neighbours[[rows[a] * self.width + rows[b] for a, b in pairs if a in rows and b in rows]] = True
-        #: Of each chunk the ids as text, each with a blank after it, what they decode to inside a text, and their number.
-        self.chunks: dict[str, tuple[bytes, bytes, int]] = {}
-        self.older_chunks: dict[str, tuple[bytes, bytes, int]] = {}
+        #: Of each chunk the ids as text, each with a blank after it, a line feed, and what they decode to inside a text.
+        self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.long_chunks: list[str] = []
 
     def merged(self, text: str) -> list[str]:
@@ -172,19 +173,19 @@ class PieceModel:
     def _pieces_of(self, run: str) -> list[str]:
         return self.merged(run) if run.startswith(MARK + MARK) else self.backtracked(run)
 
-    def _made(self, chunk: str) -> tuple[bytes, bytes, int]:
+    def _made(self, chunk: str) -> bytes:
         normal = self.normal
         if self.known.issuperset(chunk):
             pieces = self._pieces_of(chunk)
-            return "".join([f"{normal[p]} " for p in pieces]).encode(), "".join(pieces).replace(MARK, " ").encode(), len(pieces)
+            return ("".join([f"{normal[p]} " for p in pieces]) + "\n" + "".join(pieces).replace(MARK, " ")).encode()
         ids: list[int] = []
         for known, group in groupby(chunk, self.known.__contains__):
             run = "".join(group)
             ids.extend([normal[p] for p in self._pieces_of(run)] if known else [self.byte_id[b] for b in run.encode()])
-        return "".join([f"{i} " for i in ids]).encode(), self.decode(ids, inside=True).encode(), len(ids)
+        return ("".join([f"{i} " for i in ids]) + "\n" + self.decode(ids, inside=True)).encode()
 
     def learn(self, chunks: list[str]) -> list[tuple[bytes, bytes, int]]:
-        """What is kept of each of these distinct chunks; each new one is encoded once."""
+        """The ids as text, what they decode to and their number, of each of these distinct chunks; each new one is encoded once."""
         for chunk in self.long_chunks:
             self.chunks.pop(chunk, None)
         if len(self.chunks) > CACHE_CHUNKS:
@@ -195,7 +196,8 @@ class PieceModel:
         older, made = self.older_chunks.get, self._made
         self.chunks.update([(chunk, older(chunk) or made(chunk)) for chunk in new])
         self.long_chunks = [chunk for chunk in new if len(chunk) > CACHED_CHARS]
-        return [self.chunks[chunk] for chunk in chunks]
+        split = [self.chunks[chunk].partition(b"\n") for chunk in chunks]
+        return [(ids, decoded, ids.count(b" ")) for ids, _, decoded in split]
 
     def chunks_of(self, texts: list[str]) -> tuple[pa.Array, list[str], np.ndarray]:
         """The code of every chunk of the texts, the chunk of every code, and where each text's chunks begin, then the end."""
@@ -314,6 +316,7 @@ def _mapped(docs: DataFrame, text: str, path: str | None, fields: list[StructFie
                 rows = row(model, part.column("__text").to_pylist())
                 columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], type=t) for t in types]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + columns, [*carried, *names])
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 
