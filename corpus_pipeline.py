@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweir.llm import decontaminate, jaccard, pieces, pii, quality
-from tallyweir.llm.links import stored
+from tallyweir.llm.links import stored, stored_ids
 from tallyweir.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         leaders = found.groupBy(F.col("component").alias("group")).agg(first)
         found = found.withColumnRenamed("component", "group").join(leaders, "group")
     gone = found.where("component <> key").select(F.col("key").alias("__gone"))
-    few = jaccard.few_rows(stored(gone, "gone"))
+    few = jaccard.few_rows(stored_ids(gone, "gone"))
     kept = docs.withColumn(KEY, jaccard.row_key(differ)).join(few, F.col(KEY) == F.col("__gone"), "left_anti")
     return (kept if differ else kept.dropDuplicates([KEY])).select(*docs.columns)
 
@@ -58,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     judged = decontaminate.contamination(docs.select("doc_id", "text"), items)
     gone = judged.where("contaminated").select(F.col("doc").alias("__gone"), F.col("text_hash").alias("__hash"))
-    few = jaccard.few_rows(stored(gone, "gone"))
+    few = jaccard.few_rows(stored_ids(gone, "gone"))
     keyed = docs.withColumn(KEY, F.xxhash64("text"))
     return keyed.join(few, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col(KEY) == F.col("__hash")), "left_anti").select(*docs.columns)
 
