@@ -2,6 +2,6 @@
 
 from catalog.registry import REGISTRY
 
-from catalog import aggregates, analyses, depth, domain, joins, models, relational, scalars, sources, stratified  # noqa: F401
+from catalog import aggregates, analyses, depth, domain, joins, models, relational, scalars, sources, stratified, texts  # noqa: F401
 
 __all__ = ["REGISTRY"]
