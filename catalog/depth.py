@@ -212,4 +212,5 @@ def column_sketch_profile(t: Tables) -> DataFrame:
     both = merged.join(profile.exact_distinct_counts(fish, _PROFILED), "column_name")
     near = F.abs(F.col("n_distinct_approx") - F.col("n_distinct")) <= 4 * profile.DISTINCT_ERROR * F.col("n_distinct") + 1
     few = F.col("n_distinct").between(1, 1000)
-    return both.select("column_name", "n_known", "n_missing", near.alias("distinct_within_error"), F.when(few, F.col("most_frequent")[0]["count"]).alias("largest_count"))
+    # a column of very many values may have no frequent one; the optimizer takes the count out before it asks for few values
+    return both.select("column_name", "n_known", "n_missing", near.alias("distinct_within_error"), F.when(few, F.get("most_frequent", 0)["count"]).alias("largest_count"))

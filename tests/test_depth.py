@@ -5,14 +5,17 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import REGISTRY
+from catalog.tables import Tables
 from tallyweir.operators import aggregates, biology, joins, profile, recapture, regression
 from tallyweir.sources import readers, writers
 from tests.goldens import SEASON_A, matrix_rows
-from tests.oracle import plan
+from tests.oracle import compare, plan
 
 
 def dense_band(x, y, points, span=0.75):
@@ -190,3 +193,16 @@ def test_sketch_profile_of_a_wide_table(spark):
     assert {t["count"] for t in rows["code"].most_frequent} == {67} and rows["void"].most_frequent == []
     assert profile.merged_profile(parts, ["day"]).count() == 28
     assert "Expand" not in plan(profile.exact_distinct_counts(df, slices=2))
+
+
+def test_profile_of_a_column_without_a_frequent_value(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id % 50 AS l_suppkey", "CAST(1 + id % 7 AS INT) AS l_linenumber", "CAST(1 + id % 50 AS DOUBLE) AS l_quantity",
+        "CAST(900 + id AS DOUBLE) AS l_extendedprice", "(id % 11) / 100D AS l_discount", "(id % 9) / 100D AS l_tax", "IF(id % 2 = 0, 'A', 'N') AS l_returnflag",
+        "IF(id % 3 = 0, 'O', 'F') AS l_linestatus", "TIMESTAMP_NTZ '1996-01-01 00:00:00' + make_dt_interval(CAST(id % 700 AS INT)) AS l_shipdate",
+    )
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    query = REGISTRY["column_sketch_profile"]
+    assert compare(query.run(Tables(spark, str(tmp_path))), con, query.sql) == []
