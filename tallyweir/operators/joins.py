@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from tallyweir.session import materialise
 from tallyweir.sources.readers import MAX_LITERAL_ROWS
 
+#: Pieces of heavy keys for each shuffle partition, so that what falls to the tasks evens out.
+PIECES = 4
+#: Rows of one key from a side that a task can hold.
+PART_ROWS = 1_000_000
+
 
 def small_side(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> DataFrame:
     """``df`` written once, and hinted for broadcast only when it is counted to be small."""
@@ -64,13 +69,16 @@ def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: b
 def skew_safe_full_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = True, most_rows: int = 1_000_000
 ) -> DataFrame:
-    """:func:`full_join` in which no task reads more than about ``most_rows`` rows of one key from a side.
+    """:func:`full_join` in which the rows of a key with over ``most_rows`` rows on either side are dealt to many tasks.
 
-    Spark can't split a full join at a hot key. Keys with more rows on either side are found by a count; their rows are
-    dealt to several parts, and each meets all parts of the other side. The rows without a partner come from
-    anti-joins with the other side's distinct keys, dealt to the same parts.
+    Spark can't split a full join at a hot key. Heavy keys are found by a count; the rows of one that both sides have are
+    dealt to parts of about ``most_rows`` rows, and each part meets all parts of the other side. Every row is written once
+    for each part of the other side, so a key is cut into no more pieces (pairs of parts) than its share, by rows read and
+    made, of ``PIECES`` for each shuffle partition: more would let no task read less. No part has over ``PART_ROWS`` rows
+    by that. A heavy key that one side lacks needs no join, all others meet in a plain full join.
     """
     known = [f"_k{j}" for j in range(len(on))]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sized(df: DataFrame, name: str) -> DataFrame:
         zero = {"_left": F.lit(0).cast("long"), "_right": F.lit(0).cast("long")}
@@ -78,34 +86,39 @@ def skew_safe_full_join(
         return counts.withColumns({c: v for c, v in zero.items() if c != name})
 
     sizes = sized(left, "_left").unionByName(sized(right, "_right")).groupBy(*known).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
-    parts = {"_nl": F.ceil(F.col("_left") / most_rows), "_nr": F.ceil(F.col("_right") / most_rows)}
-    heavy = small_side(sizes.where(F.greatest("_left", "_right") > most_rows).select(*known, *[F.greatest(n, F.lit(1)).cast("int").alias(c) for c, n in parts.items()]))
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        """The rows with ``_p{own}``, their own part, and a copy for every part of the other side in ``_p{other}``."""
-        match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for a, k in zip(known, on, strict=True)])
-        out = df.join(heavy, match, "left").withColumn(f"_p{own}", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(f"_n{own}", F.lit(1))).cast("int"))
-        return out.withColumn(f"_p{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"_n{other}", F.lit(1)) - 1))).drop(*known, "_nl", "_nr")
-
-    spot = ["_pl", "_pr"]
-    right_ = _renamed(dealt(right, "r", "l"), [*on, *spot])
-    left_ = dealt(left, "l", "r")
-    at = reduce(lambda a, b: a & b, [left_[c] == right_[f"_r_{c}"] for c in spot])
-    both = left_.join(right_, _match(left_, right_, on, null_safe) & at)
-    rest = [c for c in right.columns if c not in on]
-    matched = both.select(*left.columns, *rest)
+    meets = reduce(lambda a, b: a & b, [F.col(k).isNotNull() | null_safe for k in known], F.least("_left", "_right") > 0)
+    heavy = small_side(sizes.where(F.greatest("_left", "_right") > most_rows).withColumns({"_meets": meets, "_pk": F.monotonically_increasing_id()}))
+
+    made, read = F.col("_left").cast("double") * F.col("_right"), F.col("_left") + F.col("_right")
+    all_made, all_read = heavy.where("_meets").agg(F.sum(made), F.sum(read)).first()
+    pieces = PIECES * tasks * F.greatest(made / (all_made or 1), read / (all_read or 1))
+
+    def parts(rows: str, wanted: Column) -> Column:
+        """At most parts of ``most_rows`` rows, at least parts that a task can hold."""
+        return F.greatest(F.least(F.ceil(F.col(rows) / most_rows), F.ceil(wanted)), F.ceil(F.col(rows) / max(most_rows, PART_ROWS)), F.lit(1)).cast("int")
 
-    def alone(df: DataFrame, others: DataFrame, own: str) -> DataFrame:
-        """Rows of a side without a partner: every part meets the distinct keys of the other side once."""
-        rows = df.join(heavy, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for a, k in zip(known, on, strict=True)]), "left")
-        rows = rows.withColumn("_pl", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(f"_n{own}", F.lit(1))).cast("int")).drop(*known, "_nl", "_nr")
-        keys = others.select(*on).distinct()
-        keys = keys.join(heavy, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for a, k in zip(known, on, strict=True)]), "left")
-        keys = _renamed(keys.withColumn("_pl", F.explode(F.sequence(F.lit(0), F.coalesce(f"_n{own}", F.lit(1)) - 1))).select(*on, "_pl"), [*on, "_pl"])
-        return rows.join(keys, _match(rows, keys, on, null_safe) & (rows["_pl"] == keys["_r__pl"]), "left_anti").drop("_pl")
+    # the fewest copies are written when both sides' parts have as many rows
+    even = F.least(pieces, F.sqrt(pieces * F.col("_left") / F.greatest("_right", F.lit(1))))
+    cut = heavy.where("_meets").withColumn("_nl", parts("_left", F.floor(even))).withColumn("_nr", parts("_right", pieces / F.col("_nl")))
+    cut = cut.withColumn("_nl", parts("_left", pieces / F.col("_nr"))).select(*known, "_pk", "_nl", "_nr")
 
+    def of(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return df.join(some, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(a)) for a, k in zip(known, on, strict=True)]), how)
+
+    spot = ["_pk", "_pl", "_pr"]
+
+    def dealt(df: DataFrame, columns: Sequence[str], own: str, other: str) -> DataFrame:
+        """The rows of heavy keys with ``_p{own}``, their own part, and a copy for every part of the other side in ``_p{other}``."""
+        out = of(df, cut, "inner").withColumn(f"_p{own}", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(f"_n{own}")).cast("int"))
+        out = out.withColumn(f"_p{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1)))
+        return out.select(*columns, *spot).repartition(tasks, *spot)  # by number: what a task makes doesn't show in the bytes it reads
+
+    rest = [c for c in right.columns if c not in on]
+    matched = dealt(left, left.columns, "l", "r").join(dealt(right, rest, "r", "l"), spot).drop(*spot)
+    keys, alone = heavy.select(*known), heavy.where("NOT _meets").select(*known)
+    light = full_join(of(left, keys, "left_anti"), of(right, keys, "left_anti"), on, null_safe)
     return (
-        matched.unionByName(alone(left, right, "l"), allowMissingColumns=True).unionByName(alone(right, left, "r"), allowMissingColumns=True)
+        matched.unionByName(light).unionByName(of(left, alone, "left_semi"), allowMissingColumns=True).unionByName(of(right, alone, "left_semi"), allowMissingColumns=True)
         .select(*on, *[c for c in left.columns if c not in on], *rest)
     )
 

@@ -127,6 +127,41 @@ def test_no_task_reads_a_hot_key_alone(spark):
     assert sum(sizes) == 40_001 and max(sizes) < 0.4 * 40_000
 
 
+def rows_of(node, name):
+    """Rows that all operators of one kind made in an executed plan."""
+    own = node.metrics().apply("numOutputRows").value() if node.nodeName() == name else 0
+    return own + sum(rows_of(node.children().apply(i), name) for i in range(node.children().size()))
+
+
+@pytest.mark.parametrize("part_rows", [1_000_000, 50])
+def test_copies_of_a_hot_key_follow_the_tasks(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(joins, "PART_ROWS", part_rows, raising=False)
+    left = spark.range(1_200).selectExpr("IF(id < 800, 'hot', 'left') AS k", "id AS x")
+    right = spark.range(500).selectExpr("IF(id < 400, 'hot', 'right') AS k", "id AS y")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = joins.skew_safe_full_join(left, right, ["k"], most_rows=5)
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(rows) == len(set(rows)) == 800 * 400 + 400 + 100
+    # parts of five rows would take 800 x 80 + 400 x 160 copies
+    assert 1_200 < rows_of(out._jdf.queryExecution().executedPlan(), "Generate") <= 14_000
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_skew_safe_full_join_by_two_keys_with_nulls(spark, null_safe):
+    random.seed(8)
+    pair = lambda a, b: (random.choice([*a, None]), random.choice([*b, None]))
+    left = spark.createDataFrame([(*pair("aab", (1.0, -0.0)), i) for i in range(150)], "k STRING, v DOUBLE, x INT")
+    right = spark.createDataFrame([(*pair("aac", (1.0, 0.0, float("nan"))), i) for i in range(90)], "k STRING, v DOUBLE, y INT")
+    want = sorted(str(r).replace("-0.0", "0.0") for r in joins.full_join(left, right, ["k", "v"], null_safe).collect())
+    for most in (3, 20, 1_000):
+        got = joins.skew_safe_full_join(left, right, ["k", "v"], null_safe, most_rows=most).collect()
+        assert sorted(str(r).replace("-0.0", "0.0") for r in got) == want
+
+
 def test_ten_thousand_windows_without_a_nested_loop(spark):
     random.seed(5)
     day = dt.date(1990, 1, 1)
